@@ -14,16 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the session's spark.checkpoint.dir, or, where that is unset, a folder of our own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomery-checkpoints")
-        spark.sparkContext.setCheckpointDir(found)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir, or, where that is unset, one of our own."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomery-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut at a reliable checkpoint in the shared folder."""
-    shared_checkpoints(df.sparkSession)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

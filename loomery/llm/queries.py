@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, packing
+from loomery.llm import bpe, langid, media, packing
 from loomery.llm.common import table, tokenizer_path
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text."""
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an MPEG audio stream, read back."""
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
@@ -22,7 +32,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op7_byte_bpe, op8_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_mpeg_audio, op7_byte_bpe, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
