@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, langid, media, packing
+from loomery.llm import bpe, langid, linededup, media, oracles, packing, toxicity, urlrules
 from loomery.llm.common import table, tokenizer_path
 
 
@@ -20,6 +20,20 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+#: (verdict, host, beginning of the path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page."""
+    return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text."""
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
@@ -30,11 +44,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What boilerplate removal takes from every text."""
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op2_language_id, op3_mpeg_audio, op7_byte_bpe, op8_packing)}
+    return {f.__name__: f for f in (op2_language_id, op3_mpeg_audio, op4_url_filters, op6_toxicity, op7_byte_bpe, op8_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL expresses."""
-    return {}
+    return {"op4_url_filters": oracles.OP4, "op10_line_dedup": oracles.OP10}
