@@ -16,7 +16,7 @@ import functools
 import heapq
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 CONTRACTIONS = ["s", "t", "m", "d", "re", "ve", "ll"]
 BLOCK = 256
 #: Pieces that a worker remembers, and the length in bytes up to which it does and merges by a plain list.
-PIECES_KEPT, SHORT = 400_000, 64
+PIECES_KEPT, SHORT = 150_000, 64
 #: Slots, less one, of a hash table of pairs.
 SLOTS = (1 << 20) - 1
 #: Pieces merged at once: their matrices stay in a core's cache.
@@ -291,7 +291,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def portions(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
+def portions(texts: list[str], most: int = 400_000) -> Iterator[list[str]]:
     """Runs of whole texts with about ``most`` characters at most, so that arrays stay small."""
     held: list[str] = []
     size = 0
@@ -305,13 +305,18 @@ def portions(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
         yield held
 
 
+def by_slices(values: pa.Array, f: Callable[[list], pa.Array], rows: int = 256) -> pa.Array:
+    """``f`` of the values, a few rows at a time as Python objects."""
+    return pa.concat_arrays([f(values[i : i + rows].to_pylist()) for i in range(0, max(1, len(values)), rows)])
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds ``ids``: the ids of ``text`` as little-endian unsigned 32-bit integers, in one binary value a row."""
 
     @F.arrow_udf(T.BinaryType())
     def encoded(texts: pa.Array) -> pa.Array:
         found = codec(path)
-        return pa.array([x for part in portions([t or "" for t in texts.to_pylist()]) for _, x in found.encode(part)], pa.binary())
+        return by_slices(texts, lambda values: pa.array([x for part in portions([t or "" for t in values]) for _, x in found.encode(part)], pa.binary()))
 
     return df.withColumn(ids, encoded.asNondeterministic()(F.col(text)))
 
@@ -322,7 +327,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") ->
     @F.arrow_udf(T.BinaryType())
     def decoded(values: pa.Array) -> pa.Array:
         found = codec(path)
-        return pa.array([found.decode(x or b"") for x in values.to_pylist()], pa.binary())
+        return by_slices(values, lambda part: pa.array([found.decode(x or b"") for x in part], pa.binary()))
 
     return df.withColumn(data, decoded.asNondeterministic()(F.col(ids)))
 
