@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, langid, linededup, media, oracles, packing, toxicity, urlrules
+from loomery.llm import bpe, jaccard, langid, linededup, media, oracles, packing, toxicity, urlrules
 from loomery.llm.common import table, tokenizer_path
 
 
@@ -29,6 +29,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of similar documents that each document is in."""
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every text."""
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -51,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op2_language_id, op3_mpeg_audio, op4_url_filters, op6_toxicity, op7_byte_bpe, op8_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op3_mpeg_audio, op4_url_filters, op5_jaccard_join, op6_toxicity, op7_byte_bpe, op8_packing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
