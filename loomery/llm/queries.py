@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, jaccard, langid, linededup, media, oracles, packing, toxicity, urlrules
+from loomery.llm import bpe, jaccard, langid, linededup, media, neighbours, oracles, packing, toxicity, urlrules
 from loomery.llm.common import table, tokenizer_path
 
 
@@ -49,6 +49,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found to every fiftieth."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What boilerplate removal takes from every text."""
     return linededup.digests(table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op2_language_id, op3_mpeg_audio, op4_url_filters, op5_jaccard_join, op6_toxicity, op7_byte_bpe, op8_packing, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_language_id, op3_mpeg_audio, op4_url_filters, op5_jaccard_join, op6_toxicity, op7_byte_bpe, op8_packing, op9_nearest_neighbours, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
