@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import bpe, jaccard, langid, linededup, media, neighbours, oracles, packing, toxicity, urlrules
+from loomery.llm import bpe, jaccard, langid, linededup, lm, media, neighbours, oracles, packing, toxicity, urlrules
 from loomery.llm.common import table, tokenizer_path
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of every text."""
+    return lm.predict(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text."""
     return langid.predict(table(spark, sf_dir, "documents"))
@@ -61,7 +66,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {f.__name__: f for f in (op2_language_id, op3_mpeg_audio, op4_url_filters, op5_jaccard_join, op6_toxicity, op7_byte_bpe, op8_packing, op9_nearest_neighbours, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_language_id, op3_mpeg_audio, op4_url_filters, op5_jaccard_join, op6_toxicity, op7_byte_bpe, op8_packing, op9_nearest_neighbours, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
