@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from loomery.plans import order_queries, table_queries, text_queries
+
+PARTS = (text_queries, order_queries, table_queries)
+
 
 def queries() -> dict:
     """All queries of the library's own operators, by name."""
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL expresses, by name."""
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
