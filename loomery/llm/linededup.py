@@ -20,8 +20,6 @@ MIN_SITES, MIN_WORDS = 8, 4
 #: Registers of a sketch, as a power of two; its relative error, three times over.
 REGISTERS = 12
 ERROR = 3 * 1.04 / 2 ** (REGISTERS / 2)
-#: Rows up to which the documents' line hashes are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def line_hash(line: Column) -> Column:
@@ -59,11 +57,11 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     the number of lines before and of those removed."""
     found = cut(boilerplate(docs, min_sites))
     hits = _lines(docs).join(found, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("__loomery_drop"))
-    hits = cut(hits.select(F.col("k1").alias("__loomery_k1"), F.col("k2").alias("__loomery_k2"), "__loomery_drop"))
-    small = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = hits.select(F.col("k1").alias("__loomery_k1"), F.col("k2").alias("__loomery_k2"), "__loomery_drop")
     first, second = _key()
     keyed = docs.withColumns({"__loomery_k1": first, "__loomery_k2": second})
-    joined = keyed.join(F.broadcast(hits) if small else hits, ["__loomery_k1", "__loomery_k2"], "left")
+    # Both sides grow with the corpus, so the join is a shuffle at every size.
+    joined = keyed.join(hits.hint("merge"), ["__loomery_k1", "__loomery_k2"], "left")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("__loomery_drop"), line_hash(x)), F.lit(False)))
     out = joined.withColumn("__loomery_kept", F.when(F.col("__loomery_drop").isNull(), parts).otherwise(kept))
