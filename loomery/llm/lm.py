@@ -18,6 +18,7 @@ uniform; rows are scored one by one, repeated or not, and a null id counts as an
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -183,24 +184,22 @@ class Descent:
 def training_windows(texts: Iterator[str | None], path: str, of: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """(classes of WIDTH units and the one after each, how many are real) of PASSES places chosen by hash in each text."""
     cache = units(path)
-    for text in texts:
-        words = words_of(text)
-        spots = sorted({xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=i) % (len(words) + 1) for i in range(PASSES)}) if text else [0]
-        cache.learn(set().union(*(words[s : s + WIDTH] for s in spots)))
-        for s in spots:
-            line = of[np.frombuffer(b"".join(map(cache.__getitem__, words[s : s + WIDTH])), np.int32)]
-            if s + WIDTH >= len(words):
+    while group := list(itertools.islice(texts, 256)):
+        cut = []
+        for text in group:
+            words = words_of(text)
+            spots = sorted({xxhash.xxh3_64_intdigest(b" ".join(words[:8]), seed=i) % (len(words) + 1) for i in range(PASSES)})
+            cut += [(words[max(0, s - 1) : s], words[s : s + WIDTH], s + WIDTH >= len(words)) for s in spots]
+        cache.learn(set().union(*(x for before, inside, _ in cut for x in (before, inside))))
+        for before, inside, last in cut:
+            line = of[np.frombuffer(b"".join(map(cache.__getitem__, inside)), np.int32)]
+            if last:
                 line = np.append(line, END)
-            before = START if s == 0 else of[np.frombuffer(_unit_before(cache, words[s - 1]), np.int32)[-1]]
-            line = np.append(before, line)[: WIDTH + 1]
+            first = of[np.frombuffer(cache[before[0]], np.int32)[-1]] if before else START
+            line = np.append(first, line)[: WIDTH + 1]
             yield np.pad(line, (0, WIDTH + 1 - len(line))), len(line) - 1
 
 
-def _unit_before(cache: Units, word: bytes) -> bytes:
-    cache.learn({word})
-    return cache[word]
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all documents; tasks count before the shuffle."""
 
