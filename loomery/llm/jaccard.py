@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.common import cut
+from loomery.llm.common import cut, written
 from loomery.llm.components import components
 
 SIZE, PERCENT = 5, 80
@@ -205,35 +205,60 @@ def meetings(docs: DataFrame) -> DataFrame:
     """(sig, node) rows of the groups in which sets have to be compared: at least two nodes each."""
     together = Window.partitionBy("sig")
     rows = index(docs).withColumns({"many": F.count("*").over(together), "low": F.min("node").over(together), "high": F.max("node").over(together)})
-    shared = cut(rows.filter("low <> high").select("sig", "node", "spare", (F.col("many") > COMMON).alias("common")).distinct())
-    common = shared.filter("common").groupBy("node", "spare").count()
+    shared = written(rows.filter("low <> high").select("sig", "node", "spare", (F.col("many") > COMMON).alias("common")))
+    common = shared.filter("common").groupBy("node", "spare").agg(F.count_distinct("sig").alias("count"))
     short = common.filter(F.col("count") > F.shiftright("spare", 1)).select("node", "spare")
     kept = shared.filter("not common").select("sig", "node").unionByName(shared.filter("common").join(short, ["node", "spare"]).select("sig", "node"))
     return kept.distinct()
 
 
-def profiles(docs: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, bits and values (the set) of each of ``nodes``, from one document of each."""
+SKETCH = [f"b{i}" for i in range(8)]
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Parities of the shingles that fall on each of 512 bits, as eight integers."""
+    return np.packbits((np.bincount((values & U(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def documents_of(docs: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The text of one document of each of ``nodes``."""
     wanted = cut(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct())
     small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     source = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    chosen = source.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    return source.join(F.broadcast(wanted) if small else wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+
+
+def profiles(texts: DataFrame) -> DataFrame:
+    """node, n, bits and sketch of the set of each text."""
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 sets = [x for _, _, x in _texts([batch.slice(i, 256)]) if len(x)]
-                columns = [pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "bits", "values"])
+                eight = np.array([sketch(x) for x in sets], np.int64).reshape(-1, 8).T
+                columns = [pa.array([node_of(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.binary()), *map(pa.array, eight)]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "bits", *SKETCH])
+
+    return written(texts.mapInArrow(profiled, "node long, n long, bits binary, " + ", ".join(f"{b} long" for b in SKETCH)))
+
+
+def values_of(texts: DataFrame) -> DataFrame:
+    """node and values, the whole set, of each text."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                sets = [x for _, _, x in _texts([batch.slice(i, 256)]) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "values"])
 
-    return cut(chosen.mapInArrow(profiled, "node long, n long, bits binary, values binary").dropDuplicates(["node"]))
+    return texts.mapInArrow(listed, "node long, values binary")
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
+def verified(pairs: DataFrame, held: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough; whole sets are made again for those that ``held`` leaves open."""
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return held.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+        return table.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,9 +270,11 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
             rows = zip(batch.column("u_values"), batch.column("v_values"), strict=True)
             yield batch.select(["u", "v"]).filter(pa.array([similar(a.as_py(), b.as_py()) for a, b in rows], pa.bool_()))
 
-    rough = pairs.join(side("u", "n", "bits"), "u").join(side("v", "n", "bits"), "v").select("u", "u_n", "u_bits", "v", "v_n", "v_bits")
+    rough = pairs.join(side(held, "u", "n", "bits"), "u").join(side(held, "v", "n", "bits"), "v").select("u", "u_n", "u_bits", "v", "v_n", "v_bits")
     likely = cut(rough.mapInArrow(tested, "u long, v long"))
-    return likely.join(side("u", "values"), "u").join(side("v", "values"), "v").select("u", "u_values", "v", "v_values").mapInArrow(proved, "u long, v long")
+    nodes = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = values_of(documents_of(docs, named, nodes))
+    return likely.join(side(sets, "u", "values"), "u").join(side(sets, "v", "values"), "v").select("u", "u_values", "v", "v_values").mapInArrow(proved, "u long, v long").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -256,15 +283,19 @@ def groups(docs: DataFrame) -> DataFrame:
     met = cut(meetings(docs))
     hubs = met.groupBy("sig").agg(F.min("node").alias("u"))
     first = cut(met.join(hubs, "sig").filter("node <> u").select("u", F.col("node").alias("v")).distinct())
-    held = profiles(docs, named, met.select("node").distinct())
-    links = cut(verified(first, held))
+    held = profiles(documents_of(docs, named, met.select("node").distinct()))
+    links = cut(verified(first, held, docs, named))
     member = cut(components(links))
     placed = met.join(member, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("sig")
-    left = cut(placed.join(mixed, "sig"))
-    a, b = left.select("sig", F.col("node").alias("u"), F.col("c").alias("c1")), left.select("sig", F.col("node").alias("v"), F.col("c").alias("c2"))
-    rest = a.join(b, "sig").filter("u < v and c1 <> c2").select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
-    more = cut(verified(rest, held))
+    # The differing parities of two sketches bound the symmetric difference from below: most pairs fall inside the join.
+    left = cut(placed.join(mixed, "sig").join(held.select("node", "n", *SKETCH).dropDuplicates(["node"]), "node"))
+    a, b = (left.select("sig", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "c", "n", *SKETCH))) for side in "uv")
+    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in SKETCH), F.lit(0))
+    near = (F.col("u_n") * 100 >= F.col("v_n") * PERCENT) & (F.col("v_n") * 100 >= F.col("u_n") * PERCENT) & (apart * 9 <= F.col("u_n") + F.col("v_n"))
+    met_again = a.join(b, (a["sig"] == b["sig"]) & (F.col("u_node") < F.col("v_node")) & (F.col("u_c") != F.col("v_c")) & near)
+    rest = met_again.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    more = cut(verified(rest, held, docs, named))
     if not more.isEmpty():
         member = cut(components(links.unionByName(more)))
     nodes = named.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(member, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
