@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and phrases that results depend on.
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
@@ -19,7 +20,7 @@ TECHNICAL = r"(?i)\b(?:algorithm|function|variable|equation|theorem|molecule|pro
 SEPARATOR = "\u001f"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfkc_casefold(values: pa.Array) -> pa.Array:
     """NFKC, case folding, one space between words; no built-in function has the first two."""
     fold = lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split())
