@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from loomery.llm.bpe import codec
 from loomery.llm.common import cut, remainder, written
 
-CLASSES, SHARED = 128, 16
+CLASSES, SHARED = 96, 12
 WIDTH, DEPTH = 32, 16
-ROUNDS, PASSES, BATCH, RATE = 4, 4, 64, 0.01
+ROUNDS, PASSES, BATCH, RATE = 3, 1, 16, 0.01
 #: Most frequent words that every task holds; words that a task counts, and whose units it keeps, before it lets go.
-HEAD, WORDS_KEPT = 200_000, 200_000
+HEAD, WORDS_KEPT, UNITS_KEPT = 200_000, 200_000, 350_000
 WINDOWS_AT_ONCE = 1024
 END, START = CLASSES - 1, CLASSES
 #: Bounds of the weight of corpus shares.
@@ -69,7 +69,7 @@ class Units(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """Makes sure that ``words`` are there."""
-        if len(self) > WORDS_KEPT:
+        if len(self) > UNITS_KEPT:
             self.clear()
         missing = list(words - self.keys())
         for i in range(0, len(missing), 4096):
@@ -130,10 +130,30 @@ def _attend(w: dict[str, np.ndarray], classes: np.ndarray, used: np.ndarray, sin
 
 def log_shares(w: dict[str, np.ndarray], classes: np.ndarray, used: np.ndarray, target: np.ndarray, since: int) -> np.ndarray:
     """Natural log-probability of ``target`` classes at positions from ``since`` on."""
-    seen = _attend(w, classes, used, since)[-1]
-    logits = seen @ w["out"] + w["bias"]
-    logits -= logits.max(2, keepdims=True)
-    return np.take_along_axis(logits, target[:, :, None].astype(np.intp), 2)[:, :, 0] - np.log(np.exp(logits).sum(2))
+    x = w["embed"][classes] + w["place"]
+    asks = x[:, since:] @ (w["query"] / np.float32(math.sqrt(DEPTH)))
+    weights = asks @ (x @ w["key"]).transpose(0, 2, 1)
+    weights += np.where(used, np.float32(0), np.float32(-1e9))[:, None, :]
+    weights += MASK[since:]
+    _exponentiate(weights)
+    total = weights.sum(2, keepdims=True)
+    seen = x[:, since:] + weights @ (x @ w["value"]) / np.maximum(total, np.float32(1e-30))
+    logits = seen.reshape(-1, DEPTH) @ w["out"]
+    logits += w["bias"]
+    goal = logits[np.arange(len(logits)), target.ravel()]
+    shift = _exponentiate(logits)
+    return (goal - shift - np.log(logits @ np.ones(CLASSES, logits.dtype))).reshape(target.shape)
+
+
+def _exponentiate(x: np.ndarray) -> np.ndarray | np.float32:
+    """exp in place; rows are shifted, by what is returned, only if some value could overflow or all of a row vanish."""
+    shift = np.float32(0)
+    top = x.max(-1)
+    if top.max() > 40 or top.min() < -40:
+        shift = top
+        x -= top[..., None]
+    np.exp(x, out=x)
+    return shift
 
 
 def gradient(w: dict[str, np.ndarray], classes: np.ndarray, target: np.ndarray, used: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
