@@ -3,9 +3,10 @@
 Words are lower-cased (A-Z) and cut into subwords of a public byte-level vocabulary; a unit is a subword and whether it
 ends its word. The CLASSES classes are the most frequent units, an end of text, and shared classes for all other units,
 inside which units have add-one shares of their corpus counts. A one-layer causal self-attention model, written in
-numpy, predicts the next unit's class. It is trained by every training document: each gives PASSES windows chosen by
-hash, tasks descend side by side and their weights are averaged, ROUNDS times. For scoring, windows of WIDTH units
-overlap by half, so that each unit is scored once with at least half a window before it, in batches of masked attention.
+numpy, predicts the next unit's class. It is trained once on every unit of every training document, in consecutive
+windows of WIDTH units: documents are dealt out to ROUNDS rounds by hash, in each of which tasks descend side by side and
+their weights are averaged by units. For scoring, windows of WIDTH units overlap by half, so that each unit is scored
+once with at least half a window before it, in batches of masked attention.
 
 The attention gives the class of a word's first unit; within that class a word has its corpus share among the words that
 begin so (weight: the head's part of the corpus; for the HEAD most frequent words, whose table has that bound), mixed
@@ -18,14 +19,12 @@ uniform; rows are scored one by one, repeated or not, and a null id counts as an
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,9 @@ from loomery.llm.common import cut, remainder, written
 
 CLASSES, SHARED = 96, 12
 WIDTH, DEPTH = 32, 16
-ROUNDS, PASSES, BATCH, RATE = 3, 1, 16, 0.01
+ROUNDS, BATCH, RATE = 3, 16, 0.01
+#: Characters of texts whose training windows are held at once.
+GROUP_CHARS = 1 << 21
 #: Most frequent words that every task holds; words that a task counts, and whose units it keeps, before it lets go.
 HEAD, WORDS_KEPT, UNITS_KEPT = 200_000, 200_000, 350_000
 WINDOWS_AT_ONCE = 1024
@@ -201,23 +202,37 @@ class Descent:
         return loss
 
 
-def training_windows(texts: Iterator[str | None], path: str, of: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """(classes of WIDTH units and the one after each, how many are real) of PASSES places chosen by hash in each text."""
-    cache = units(path)
-    while group := list(itertools.islice(texts, 256)):
-        cut = []
-        for text in group:
-            words = words_of(text)
-            spots = sorted({xxhash.xxh3_64_intdigest(b" ".join(words[:8]), seed=i) % (len(words) + 1) for i in range(PASSES)})
-            cut += [(words[max(0, s - 1) : s], words[s : s + WIDTH], s + WIDTH >= len(words)) for s in spots]
-        cache.learn(set().union(*(x for before, inside, _ in cut for x in (before, inside))))
-        for before, inside, last in cut:
-            line = of[np.frombuffer(b"".join(map(cache.__getitem__, inside)), np.int32)]
-            if last:
-                line = np.append(line, END)
-            first = of[np.frombuffer(cache[before[0]], np.int32)[-1]] if before else START
-            line = np.append(first, line)[: WIDTH + 1]
-            yield np.pad(line, (0, WIDTH + 1 - len(line))), len(line) - 1
+def training_windows(texts: Iterator[str | None], path: str, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(classes of WIDTH units and the one before, how many are real) of consecutive windows that hold every unit of every
+    text; those of a group of texts in an order by chance, so that a batch is not of one text."""
+    cache, random = units(path), np.random.default_rng(13)
+    for group in _groups(texts):
+        split = [words_of(text) for text in group]
+        cache.learn(set().union(*split))
+        lines, counts = [], []
+        for words in split:
+            inside = of[np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32)]
+            size = len(inside) + 1  # with the end
+            each = -(-size // WIDTH)
+            line = np.zeros(each * WIDTH + 1, np.int16)
+            line[0], line[1:size], line[size] = START, inside, END
+            lines.append(np.lib.stride_tricks.sliding_window_view(line, WIDTH + 1)[::WIDTH])
+            counts.append(np.minimum(size - np.arange(each) * WIDTH, WIDTH))
+        order = random.permutation(sum(map(len, counts)))
+        yield np.concatenate(lines)[order], np.concatenate(counts)[order]
+
+
+def _groups(texts: Iterator[str | None]) -> Iterator[list[str | None]]:
+    """``texts`` by up to 256, or fewer if they are long."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text or "")
+        if len(group) == 256 or size > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -264,36 +279,38 @@ def unit_counts(counts: DataFrame, path: str) -> tuple[dict[int, int], dict[int,
 
 
 def fit(docs: DataFrame, classes: Classes, path: str) -> dict[str, np.ndarray]:
-    """Weights trained by every document of ``docs``."""
+    """Weights trained by every unit of ``docs`` (doc_id, text), whose rows are dealt out to the rounds by hash."""
     spark = docs.sparkSession
     weights = start_weights(classes.prior)
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
+        dealt = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn)
         shared = spark.sparkContext.broadcast((weights, classes.of))
 
         def descended(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             now, of = shared.value
-            descent, held, seen = Descent(now), [], 0
+            descent, seen = Descent(now), 0
+            rest, left = np.zeros((0, WIDTH + 1), np.int16), np.zeros(0, np.int64)
             texts = (t for b in batches for i in range(0, b.num_rows, 256) for t in b.column(0)[i : i + 256].to_pylist())
 
-            def step() -> None:
-                lines = np.stack([x for x, _ in held]).astype(np.int64)
-                used = np.arange(WIDTH) < np.array([n for _, n in held])[:, None]
-                descent.take(lines[:, :-1], lines[:, 1:] % CLASSES, used)
-                held.clear()
-
-            for window in training_windows(texts, path, of):
-                held.append(window)
-                seen += 1
-                if len(held) == BATCH:
-                    step()
-            if held:
-                step()
+            def step(lines: np.ndarray, real: np.ndarray) -> None:
+                lines = lines.astype(np.int64)
+                descent.take(lines[:, :-1], lines[:, 1:], np.arange(WIDTH) < real[:, None])
+
+            for lines, real in training_windows(texts, path, of):
+                seen += int(real.sum())
+                lines, real = np.concatenate([rest, lines]), np.concatenate([left, real])
+                whole = len(lines) // BATCH * BATCH
+                for at in range(0, whole, BATCH):
+                    step(lines[at : at + BATCH], real[at : at + BATCH])
+                rest, left = lines[whole:], real[whole:]
+            if len(rest):
+                step(rest, left)
             flat = np.concatenate([descent.w[k].ravel() for k in SHAPES]).astype(np.float64)
             rows = np.arange(len(flat)) if seen else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(flat[: len(rows)] * seen), pa.array(np.full(len(rows), seen))], ["i", "x", "n"])
 
         # One row a weight reaches the driver, however many tasks there are.
-        rows = docs.select("text").mapInArrow(descended, "i long, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+        rows = dealt.select("text").mapInArrow(descended, "i long, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
         flat = np.zeros(sum(math.prod(s) for s in SHAPES.values()))
         for r in rows:
             flat[r["i"]] = r["x"] / r["n"]

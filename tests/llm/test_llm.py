@@ -314,6 +314,21 @@ def test_lm_counts_and_scores(docs, none):
     assert lm.predict(none, RANKS).count() == 0
 
 
+def test_lm_trains_on_every_unit():
+    common = sentence("en", 40)
+    texts = [common + " " + sentence("de", 700), common + " " + sentence("fr", 700), "word", "", None]
+    of = (np.arange(200_000) % 90).astype(np.int16)
+    want = Counter()
+    for text in texts:
+        units = [int(of[u]) for word in lm.units_of(lm.words_of(text), RANKS) for u in word]
+        want.update(zip([lm.START, *units], [*units, lm.END], strict=True))
+    got = Counter()
+    for lines, real in lm.training_windows(iter(texts), RANKS, of):
+        for line, n in zip(lines.tolist(), real.tolist(), strict=True):
+            got.update(zip(line[:n], line[1 : n + 1], strict=True))
+    assert got == want
+
+
 def test_lm_slopes_equal_differences():
     random_ = np.random.default_rng(2)
     w = {k: v.astype(np.float64) for k, v in lm.start_weights(np.zeros(lm.CLASSES)).items()}
