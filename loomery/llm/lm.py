@@ -9,9 +9,10 @@ their weights are averaged by units. For scoring, windows of WIDTH units overlap
 once with at least half a window before it, in batches of masked attention.
 
 The attention gives the class of a word's first unit; within that class a word has its corpus share among the words that
-begin so (weight: the head's part of the corpus; for the HEAD most frequent words, whose table has that bound), mixed
-with the product of its units, which any word has. All counts (words, units, tokens) come from all training
-documents; rarer words meet their counts by a shuffle join.
+begin so, mixed with the product of its units, which any word has. The weight of corpus shares is what Good and Turing
+leave to known words: all but the part of the training words that occur once. All counts (words, units, tokens) come from
+all training documents. The HEAD most frequent words are looked up in each task; occurrences of others take what the
+attention says of them to their counts by a shuffle join, and the same formula is applied there.
 
 Defined results: null and empty texts are one end token; without training documents all counts are 0 and units are
 uniform; rows are scored one by one, repeated or not, and a null id counts as an empty text.
@@ -326,11 +327,11 @@ def fit(docs: DataFrame, classes: Classes, path: str) -> dict[str, np.ndarray]:
 class Scorer:
     """Scores texts by attention windows and the head of the word counts."""
 
-    def __init__(self, weights: dict[str, np.ndarray], classes: Classes, head: dict[bytes, int], tokens: int, kinds: int, ends: int, path: str):
+    def __init__(self, weights: dict[str, np.ndarray], classes: Classes, head: dict[bytes, int], tokens: int, kinds: int, once: int, ends: int, path: str):
         self.weights, self.classes, self.head, self.path = weights, classes, head, path
         self.all, self.ends = tokens + kinds + 1, ends
-        #: Weight of corpus shares: what the head has of the corpus.
-        self.mix = min(MOST, max(LEAST, sum(head.values()) / max(1, tokens - ends)))
+        #: Weight of corpus shares: the part of the training words that are not the only ones of their kind.
+        self.mix = min(MOST, max(LEAST, 1 - once / (tokens - ends) if tokens > ends else 0))
         with np.errstate(divide="ignore"):
             self.per_begin = np.where(classes.begins > 0, 1 / classes.begins, 0)
 
@@ -360,7 +361,8 @@ class Scorer:
         return np.split(target, ends), np.split(out / np.float32(math.log(10)), ends), np.split(extra, ends)
 
     def score(self, texts: list[str | None]) -> Iterator[tuple]:
-        """(tokens, known head tokens, base of head tokens, score, other words, their counts) of each text."""
+        """(tokens, known head tokens, base of head tokens, score without the mixtures of other words, these words as they
+        occur, the corpus share that one count is to each, their spelled probabilities) of each text."""
         cache = units(self.path)
         split = [words_of(t) for t in texts]
         cache.learn(set().union(*split))
@@ -376,13 +378,14 @@ class Scorer:
             begin = np.append(0, np.cumsum(n))
             first = line[begin].astype(np.float64)
             spelled = 10.0 ** np.maximum(np.add.reduceat(line + extra, begin, dtype=np.float64) - first, -300)
-            share = np.maximum(seen, 0) * self.per_begin[kind[begin]]
-            mixed = self.mix * share + (1 - self.mix) * spelled
+            per_count = self.per_begin[kind[begin]]
+            mixed = self.mix * np.maximum(seen, 0) * per_count + (1 - self.mix) * spelled
             mixed[-1] = 1.0  # the end is alone in its class
-            score = float((first + np.log10(mixed)).sum())
-            known = seen[seen >= 0]
-            rest = Counter(w for w, c in zip(words, seen[:-1].tolist(), strict=True) if c < 0)
-            yield len(words) + 1, int((known > 0).sum()), float((np.log10(known + 1.0) - log_all).sum()), score, list(rest), list(rest.values())
+            inside = seen >= 0
+            score = float(first.sum() + np.log10(mixed[inside]).sum())
+            known = seen[inside]
+            rest = np.flatnonzero(~inside)
+            yield len(words) + 1, int((known > 0).sum()), float((np.log10(known + 1.0) - log_all).sum()), score, [words[i] for i in rest], per_count[rest], spelled[rest]
 
 
 def head_of(counts: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
@@ -403,27 +406,28 @@ def head_of(counts: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
 def score(docs: DataFrame, path: str, model: Scorer, rest: DataFrame) -> DataFrame:
     """``docs`` (id columns and text) scored by ``model``; ``rest`` are the (word, c) that its head does not have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, words array<binary>, times array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, words array<binary>, per_count array<double>, spelled array<double>"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                columns = list(zip(*model.score(part.column("text").to_pylist()), strict=True)) or [[] for _ in range(6)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+                columns = list(zip(*model.score(part.column("text").to_pylist()), strict=True)) or [[] for _ in range(7)]
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.float64())]
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *arrays], ["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "words", "times"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *arrays], ["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score_head", "words", "per_count", "spelled"])
 
     main = written(docs.select("doc_id", "held_out", "text").mapInArrow(scored, schema)).withColumn("row", F.monotonically_increasing_id())
     kept = written(main)
-    each = kept.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    each = kept.select("row", F.explode(F.arrays_zip("words", "per_count", "spelled")).alias("x")).select("row", F.col("x.words").alias("word"), "x.per_count", "x.spelled")
     met = each.join(rest, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    tail = met.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rest"), F.sum(F.col("times") * (F.log10(c + 1.0) - F.lit(math.log10(model.all)))).alias("base_rest"))
-    return kept.drop("words", "times").join(tail, "row", "left").select(
+    mixed = F.lit(model.mix) * c * F.col("per_count") + F.lit(1 - model.mix) * F.col("spelled")
+    tail = met.groupBy("row").agg(F.count_if(c > 0).alias("n_rest"), F.sum(F.log10(c + 1.0) - F.lit(math.log10(model.all))).alias("base_rest"), F.sum(F.log10(mixed)).alias("score_rest"))
+    return kept.drop("words", "per_count", "spelled").join(tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
-        (F.col("base_head") + F.coalesce("base_rest", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_head") + F.coalesce("base_rest", F.lit(0.0))).alias("base_score"), (F.col("score_head") + F.coalesce("score_rest", F.lit(0.0))).alias("score"),
     )
 
 
@@ -432,10 +436,10 @@ def predict(docs: DataFrame, path: str) -> DataFrame:
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
     train = held.filter(~F.col("held_out"))
     counts = written(word_counts(train))
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     ends = train.count()
     tokens, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     classes = Classes(*unit_counts(counts, path), ends, len(codec(path).bytes_of))
     rest, head = head_of(counts)
-    model = Scorer(fit(train, classes, path), classes, head, tokens, kinds, ends, path)
+    model = Scorer(fit(train, classes, path), classes, head, tokens, kinds, sums["once"], ends, path)
     return score(held, path, model, rest).withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -314,6 +314,15 @@ def test_lm_counts_and_scores(docs, none):
     assert lm.predict(none, RANKS).count() == 0
 
 
+def test_lm_head_does_not_change_scores(docs, monkeypatch):
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"])
+    whole = sorted(lm.predict(docs, RANKS).collect(), key=key)
+    monkeypatch.setattr(lm, "HEAD", 40)
+    for a, b in zip(whole, sorted(lm.predict(docs, RANKS).collect(), key=key), strict=True):
+        assert key(a) == key(b) and a["n_known"] == b["n_known"]
+        assert a["score"] == pytest.approx(b["score"]) and a["base_score"] == pytest.approx(b["base_score"])
+
+
 def test_lm_trains_on_every_unit():
     common = sentence("en", 40)
     texts = [common + " " + sentence("de", 700), common + " " + sentence("fr", 700), "word", "", None]
