@@ -2,11 +2,13 @@
 
 Equal vectors are one point. Each of CURVES orderings turns points by its own random rotation, takes DIMS coordinates,
 shifts them and walks them along a Hilbert curve; Spark range-partitions the keys of all curves, and a point's global
-rank on a curve follows from the partitions' counts. A query point meets the points within WINDOW ranks on every curve:
-buckets of WINDOW ranks bound every task's group, whatever vector is common. What the curves find is merged, scored by
-the exact cosine in double precision and ranked.
+rank on a curve follows from the partitions' counts. A query point meets the points within a window of ranks on every
+curve; buckets of at most BUCKET ranks bound every task's group, whatever vector is common. What the curves find is
+merged, scored by the exact cosine in double precision and ranked.
 
-Measured recall of the 5 nearest of 51,282 vectors of 64 nearly independent components: see the README. Defined results:
+The window is measured on each table: SAMPLE query points of smallest hash are compared with all points, and the window
+is the least in which the curves find the part AIM of their true neighbours, WINDOW at least. So it grows with the table
+as far as recall needs it. Measured recall: see the README. Defined results:
 vectors that are null, zero or hold null or non-finite components take no part; vectors of other lengths are not
 compared; ties go to the smaller id; with fewer candidates than asked for, all come; repeated ids are one candidate.
 """
@@ -24,6 +26,8 @@ from loomery.llm.common import cut
 
 CURVES, WINDOW, DIMS, BITS, SEED = 40, 512, 12, 5, 20_240_229
 PARTITIONS = 64
+#: Query points whose true neighbours are looked up; the part of these that the window holds; most ranks in a bucket.
+SAMPLE, AIM, BUCKET = 256, 0.95, 16_384
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -91,6 +95,48 @@ def vectors(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(read, "vec_id long, vec binary")
 
 
+def true_neighbours(points: DataFrame, searched: DataFrame, k: int) -> DataFrame:
+    """(q, v): the ``k`` nearest points to each of SAMPLE of the ``searched`` ones, by comparison with all."""
+    chosen = searched.select("point").orderBy(F.xxhash64("point"), "point").limit(SAMPLE)
+    by_size: dict[int, list[tuple[int, bytes]]] = {}
+    for r in points.select("point", "vec").join(F.broadcast(chosen), "point").collect():
+        by_size.setdefault(len(r["vec"]), []).append((r["point"], bytes(r["vec"])))
+    asked = {size: (np.array([i for i, _ in held]), _unit(np.frombuffer(b"".join(v for _, v in held), np.float64).reshape(len(held), -1))) for size, held in by_size.items()}
+    shared = points.sparkSession.sparkContext.broadcast(asked)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(v.as_py()) for v in batch.column("vec")])
+            for size, (ids, unit) in shared.value.items():
+                rows = np.flatnonzero(sizes == size)
+                if not len(rows):
+                    continue
+                part = batch.take(pa.array(rows))
+                have = part.column("point").to_numpy()
+                near = unit @ _unit(_vectors(part.column("vec"))).T
+                near[ids[:, None] == have] = -np.inf
+                take = min(k, len(have))
+                best = np.argpartition(-near, take - 1, axis=1)[:, :take]
+                score = np.take_along_axis(near, best, 1)
+                good = np.isfinite(score)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take)[good.ravel()]), pa.array(have[best[good]]), pa.array(score[good])], ["q", "v", "score"])
+
+    met = points.select("point", "vec").mapInArrow(compared, "q long, v long, score double")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "v")
+    return met.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("q", "v")
+
+
+def window_of(placed: DataFrame, true: DataFrame) -> int:
+    """The least window, WINDOW at least, that holds the part AIM of the pairs ``true`` on some curve."""
+    ends = cut(true)
+    line = placed.select("size", "curve", "rank", "point")
+    one = line.join(F.broadcast(ends), F.col("point") == F.col("q")).select("size", "curve", F.col("rank").alias("at"), "q", "v")
+    other = line.join(F.broadcast(ends.select("v").distinct()), F.col("point") == F.col("v")).select("size", "curve", "rank", "v")
+    # SAMPLE * k numbers at most reach the driver.
+    far = one.join(other, ["size", "curve", "v"]).groupBy("q", "v").agg(F.min(F.abs(F.col("at") - F.col("rank"))).alias("far")).collect()
+    return max(WINDOW, int(np.quantile([r["far"] for r in far], AIM, method="higher"))) if far else WINDOW
+
+
 def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found to each vector whose id ``every`` divides."""
     usable = cut(vectors(df).distinct())
@@ -120,9 +166,12 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     counts = ranged.groupBy("size", "curve", "part").count()
     before = counts.withColumn("before", F.coalesce(F.sum("count").over(line.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("size", "curve", "part").orderBy("key", "point"))
-    placed = ranged.withColumn("inside", inside).join(before, ["size", "curve", "part"]).withColumn("rank", F.col("before") + F.col("inside") - 1)
-    full = placed.select("size", "curve", "rank", "point").join(points.select("point", "vec"), "point").join(searched, "point", "left").withColumn("bucket", F.floor(F.col("rank") / WINDOW))
-    asking = full.filter("asks").withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))).withColumn("role", F.lit(True))
+    placed = cut(ranged.withColumn("inside", inside).join(before, ["size", "curve", "part"]).select("size", "curve", (F.col("before") + F.col("inside") - 1).alias("rank"), "point"))
+    window = window_of(placed, true_neighbours(points, searched, k))
+    bucket = min(window, BUCKET)
+    reach = -(-window // bucket)
+    full = placed.join(points.select("point", "vec"), "point").join(searched, "point", "left").withColumn("bucket", F.floor(F.col("rank") / bucket))
+    asking = full.filter("asks").withColumn("bucket", F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket") + reach))).withColumn("role", F.lit(True))
     both = full.withColumn("role", F.lit(False)).unionByName(asking).select("size", "curve", "bucket", "role", "rank", "point", "vec")
 
     def met(group: pa.Table) -> pa.Table:
@@ -136,7 +185,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
             for at in range(0, len(ask), 256):
                 rows = ask[at : at + 256]
                 near = unit[rows] @ unit[have].T
-                near[(np.abs(rank[rows][:, None] - rank[have]) > WINDOW) | (point[rows][:, None] == point[have])] = -np.inf
+                near[(np.abs(rank[rows][:, None] - rank[have]) > window) | (point[rows][:, None] == point[have])] = -np.inf
                 take = min(k + 3, len(have))
                 best = np.argpartition(-near, take - 1, axis=1)[:, :take]
                 good = np.isfinite(np.take_along_axis(near, best, 1))

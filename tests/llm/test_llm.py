@@ -290,6 +290,19 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_keep_recall_beyond_the_least_window(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WINDOW", 8)
+    monkeypatch.setattr(neighbours, "BUCKET", 50, raising=False)
+    x = np.random.default_rng(4).normal(size=(3000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(df, every=10).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit[::10] @ unit.T
+    near[np.arange(300), np.arange(0, 3000, 10)] = -1
+    want = {(q * 10, int(v)) for q, row in enumerate(np.argsort(-near, axis=1)[:, :5]) for v in row}
+    assert len(found & want) >= 0.9 * len(want)
+
+
 def test_hilbert_is_a_walk():
     cells = np.array([(a, b, c) for a in range(4) for b in range(4) for c in range(4)])
     order = cells[np.argsort(neighbours.hilbert(cells, 2))]
