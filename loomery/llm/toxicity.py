@@ -91,7 +91,7 @@ def fit(toxic: list[str], clean: list[str]) -> dict:
         for text in texts:
             held = [[place[f] for f in features(w) if f in place] for w in WORD.findall(text.lower())]
             marks = [i for i, x in enumerate(held) if x] or ([len(held) // 2] if held else [])
-            for i in marks[:8]:
+            for i in marks:
                 part = held[max(0, i - AROUND) : i + AROUND + 1]
                 windows.append((part, [int(bool(x) and label == 1) for x in part]))
     weights = {"lexicon": {}, "bias": 0.0, "transition": [[0.0, 0.0], [0.0, 0.0]], "slope": 1.0, "shift": 0.0, "none": 0.0}
@@ -241,9 +241,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
     chosen = hashed.filter("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE).unionByName(hashed.filter("toxic = 0").orderBy("h", "doc_id").limit(2 * SAMPLE))
     # 3 * SAMPLE ids bound what is broadcast, and as many texts what reaches the driver.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("toxic", "h", "text").collect()
-    kept: dict[tuple[str, str], tuple] = {}
+    kept: dict[tuple[str, int], tuple] = {}
     for row in sorted(rows, key=lambda r: (r["h"], r["text"])):
-        kept.setdefault((row["text"][:80], row["text"][-80:]), row)
+        kept.setdefault((row["text"], row["toxic"]), row)
     return fit(*([r["text"] for r in kept.values() if r["toxic"] == mark] for mark in (1, 0)))
 
 

@@ -166,6 +166,21 @@ def test_toxicity(docs, labels, none):
     assert kept.columns == docs.columns
 
 
+def test_toxicity_fit_takes_every_labelled_text_and_hit(spark, monkeypatch):
+    same = "a" * 90
+    texts = [(1, f"{same} one {same}", 1), (2, f"{same} two {same}", 0), (3, f"{same} two {same}", 0)]
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, clean: taken.append((toxic, clean)))
+    toxicity.learn(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), spark.createDataFrame([(i, m) for i, _, m in texts], "doc_id long, toxic int"))
+    assert taken == [([texts[0][1]], [texts[1][1]])]
+    monkeypatch.undo()
+    sizes = []
+    monkeypatch.setattr(toxicity, "lexicon", lambda toxic, clean: toxicity.features("idiot"))
+    monkeypatch.setattr(np, "zeros", lambda shape, *a, old=np.zeros, **b: (sizes.append(shape), old(shape, *a, **b))[1])
+    toxicity.fit([" ".join(["idiot"] * 20)], ["idiot fine"])
+    assert sizes[0][0] == 21
+
+
 def test_forward_backward_equals_enumeration():
     weights = {"lexicon": {"bad": 2.0, "vile": 1.0}, "bias": -1.0, "transition": [[0.3, -0.2], [-0.4, 0.5]], "slope": 1.0, "shift": 0.0, "none": 0.0}
     words = ["a", "bad", "b", "c", "vile", "d"]
