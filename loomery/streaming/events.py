@@ -1,4 +1,4 @@
-"""Streaming twins of the stateful operators: deduplication, running counts, windows and sessions."""
+"""Streaming twins of stateful operators: deduplication, windows and sessions. Running counts have none."""
 
 from __future__ import annotations
 
