@@ -2,7 +2,8 @@
 
 ``store`` writes a payload as the main data of silent MPEG-1 Layer III frames (mono, 32 kHz, 36 ms a frame, each with
 its checksum), after an ID3v2 tag and a frame with a variable-bitrate table. ``read_back`` parses any MPEG audio
-stream: tags, junk before and between frames, all versions and layers, and takes out such a payload again.
+stream: tags, junk before and between frames, all versions and layers, Xing, Info and VBRI tables, and takes out such a
+payload again. Checksums are verified of Layer III only; those of Layers I and II count as not checked.
 
 Defined results: a null text is an empty payload of 64 zero bytes; a value that holds no frame has no frames, zero
 samples and a null payload; a frame cut off at the end is not counted.
@@ -162,6 +163,10 @@ def parse(data: bytes) -> dict:
                     table[name] = struct.unpack_from(">I", data, place)[0]
                     place += 4
             table["toc"] = data[place : place + 100] if flags & 4 else b""
+        elif first and size >= 62 and data[at + 36 : at + 40] == b"VBRI":
+            total, frames, entries, scale, width, each = struct.unpack_from(">IIHHHH", data, at + 46)
+            steps = [data[p : p + width] for p in range(at + 62, min(at + 62 + entries * width, at + size), max(1, width))]
+            table = {"frames": frames, "bytes": total, "toc": b"", "steps": [int.from_bytes(x, "big") * scale for x in steps], "frames_a_step": each}
         else:
             seek.append(at)
             samples += count

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -123,6 +124,17 @@ def test_media_round_trip_and_resync(docs, none):
     assert media.parse(b"")["payload"] is None and media.parse(b"no audio")["seek"] == []
 
 
+def test_media_reads_vbri_table():
+    stream = bytearray(media.wrap(bytes(range(64)) * 100))
+    want, at = media.parse(bytes(stream)), media.parse_tag(bytes(stream))[0]
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 1234, len(want["seek"]), 2, 10, 2, 3) + struct.pack(">HH", 7, 8)
+    stream[at + 23 : at + 36] = bytes(13)  # after the header, its checksum and the side information
+    stream[at + 36 : at + 36 + len(table)] = table
+    found = media.parse(bytes(stream))
+    assert (found["seek"], found["samples"], found["payload"]) == (want["seek"], want["samples"], want["payload"])
+    assert (found["table"]["bytes"], found["table"]["frames"], found["table"]["steps"]) == (1234, len(want["seek"]), [70, 80])
+
+
 def test_language_id(docs, none):
     found = langid.predict(docs).collect()
     truth = {r["doc_id"]: r for r in docs.collect()}
