@@ -130,6 +130,17 @@ def parse_tag(data: bytes) -> tuple[int, dict[str, str]]:
     return 10 + size, fields
 
 
+def _xing(data: bytes) -> dict:
+    """A table's fields, from its flags on; those that do not lie in the frame are left out."""
+    flags, place, table = int.from_bytes(data[:4], "big"), 4, {"toc": b""}
+    for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
+        if flags & bit and place + size <= len(data):
+            part = data[place : place + size]
+            table[name] = part if name == "toc" else int.from_bytes(part, "big")
+            place += size
+    return table
+
+
 def parse(data: bytes) -> dict:
     """What a stream holds; frames are found again after junk at the next header that another frame or the end follows."""
     at, fields = parse_tag(data)
@@ -155,14 +166,8 @@ def parse(data: bytes) -> dict:
                 seen[covered] = crc16(covered)
             checked += 1
             failed += seen[covered] != data[at + 4] << 8 | data[at + 5]
-        if first and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, place = struct.unpack_from(">I", data, body + 4)[0], body + 8
-            table = {}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    table[name] = struct.unpack_from(">I", data, place)[0]
-                    place += 4
-            table["toc"] = data[place : place + 100] if flags & 4 else b""
+        if first and body + 8 <= at + size and data[body : body + 4] in (b"Xing", b"Info"):
+            table = _xing(data[body + 4 : at + size])
         elif first and size >= 62 and data[at + 36 : at + 40] == b"VBRI":
             total, frames, entries, scale, width, each = struct.unpack_from(">IIHHHH", data, at + 46)
             steps = [data[p : p + width] for p in range(at + 62, min(at + 62 + entries * width, at + size), max(1, width))]
@@ -174,8 +179,9 @@ def parse(data: bytes) -> dict:
         first = False
         at += size
     payload = None
-    if fields.get("payload_bytes", "").isdigit():
-        payload = b"".join(parts)[: int(fields["payload_bytes"])]
+    size = fields.get("payload_bytes", "")
+    if size.isascii() and size.isdecimal() and len(size) < 19:
+        payload = b"".join(parts)[: int(size)]
     sound = payload is not None and str(zlib.crc32(payload)) == fields.get("payload_crc32")
     return {"seek": seek, "samples": samples, "hertz": hertz, "checked": checked, "failed": failed, "skipped": skipped, "table": table, "payload": payload, "sound": sound}
 
