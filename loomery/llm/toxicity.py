@@ -10,8 +10,10 @@ it is exact over texts of any length.
 The log-odds that some lexicon token is toxic are calibrated to document labels by a logistic curve.
 
 Defined results: null and empty texts, like all texts without a lexicon token, score the share of toxic ones among such
-labelled documents (at most 0.5), and all texts 0 if there is no toxic or no clean labelled document. Documents labelled both ways count as toxic. The bounded part is the fit: at most
-SAMPLE toxic and 2 * SAMPLE clean documents, by smallest hash, copies of one beginning and end taken once.
+labelled documents (at most 0.5), and all texts 0 if there is no toxic or no clean labelled document. Documents labelled
+both ways count as toxic. Rows are scored one by one, repeated or not; other columns, whatever their names, pass through
+``keep_clean`` unchanged; empty tables give empty results. The bounded part is the fit: at most SAMPLE toxic and
+2 * SAMPLE clean documents, by smallest hash, equal texts of one label taken once, and LEXICON features.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import remainder
+from loomery.llm.common import by_slices, held, remainder
 
 SAMPLE, LEXICON = 1000, 4000
 #: Twice the log-likelihood ratio and the ratio of shares that a lexicon feature has at least.
@@ -35,7 +37,13 @@ EVIDENCE, RATIO = 30.0, 8.0
 AROUND, STEPS, RATE, PENALTY = 8, 80, 0.3, 1e-3
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-WORDS_KEPT = 200_000
+#: Words whose weights a tagger keeps, and the longest of them.
+WORDS_KEPT, LONGEST_KEPT = 100_000, 40
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, each in lower case by itself: lower-casing a whole text may move places."""
+    return [w.lower() for w in WORD.findall(text)]
 
 
 def features(word: str) -> list[str]:
@@ -48,7 +56,7 @@ def lexicon(toxic: list[str], clean: list[str]) -> list[str]:
     inside, outside = Counter(), Counter()
     for texts, counts in ((toxic, inside), (clean, outside)):
         for text in texts:
-            counts.update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+            counts.update({f for w in set(words_of(text)) for f in features(w)})
     n, m = len(toxic), len(clean)
 
     def evidence(a: int, b: int) -> float:
@@ -89,7 +97,7 @@ def fit(toxic: list[str], clean: list[str]) -> dict:
     windows: list[tuple[list[list[int]], list[int]]] = []
     for texts, label in ((toxic, 1), (clean, 0)):
         for text in texts:
-            held = [[place[f] for f in features(w) if f in place] for w in WORD.findall(text.lower())]
+            held = [[place[f] for f in features(w) if f in place] for w in words_of(text)]
             marks = [i for i, x in enumerate(held) if x] or ([len(held) // 2] if held else [])
             for i in marks:
                 part = held[max(0, i - AROUND) : i + AROUND + 1]
@@ -161,13 +169,16 @@ class Tagger:
         self.power = power
 
     def weight(self, word: str) -> float | None:
-        """Summed weights of the word's lexicon features, None without any."""
-        if word not in self.words:
+        """Summed weights of the word's lexicon features, in whatever case it is written; None without any."""
+        if word in self.words:
+            return self.words[word]
+        found = [self.lexicon[f] for f in features(word.lower()) if f in self.lexicon]
+        weight = sum(found) if found else None
+        if len(word) <= LONGEST_KEPT:
             if len(self.words) >= WORDS_KEPT:
                 self.words.clear()
-            found = [self.lexicon[f] for f in features(word) if f in self.lexicon]
-            self.words[word] = sum(found) if found else None
-        return self.words[word]
+            self.words[word] = weight
+        return weight
 
     def odds(self, text: str) -> float | None:
         """Log-odds that some lexicon token of the text is toxic, None without such tokens."""
@@ -184,14 +195,14 @@ class Tagger:
 
     def chain(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """(log-probability that no lexicon token is toxic, (begin, end, marginal) of the lexicon tokens)."""
-        words = WORD.findall(text.lower()) if self.lexicon else []
+        words = WORD.findall(text) if self.lexicon else []
         weigh = self.weight
-        held = [(i, w) for i, x in enumerate(words) if (w := weigh(x)) is not None]
-        if not held:
+        hits = [(i, w) for i, x in enumerate(words) if (w := weigh(x)) is not None]
+        if not hits:
             return 0.0, []
         ahead, matrices = [], []
         last, row = -1, None
-        for i, w in held:
+        for i, w in hits:
             gap = i - last - 1
             end = self.step * np.exp([0.0, min(60.0, w + self.bias)])
             if row is None:
@@ -207,30 +218,22 @@ class Tagger:
         rest = len(words) - 1 - last
         back = self.power(rest) @ np.ones(2) if rest else np.ones(2)
         spans, none = [], 0.0
-        for k in range(len(held) - 1, -1, -1):
+        for k in range(len(hits) - 1, -1, -1):
             both = ahead[k] * back
             p = float(both[1] / both.sum())
-            spans.append((held[k][0], p))
+            spans.append((hits[k][0], p))
             p = min(max(p, 1e-12), 1 - 1e-12)
             none += math.log1p(-p)
             if k:
                 back = matrices[k - 1] @ back
                 back = back / back.sum()
-        lower = text.lower()
-        places = [m.span() for m in WORD.finditer(lower)] if len(lower) == len(text) else [m.span() for m in WORD.finditer(text)]
-        return none, [(*places[i], p) for i, p in reversed(spans) if i < len(places)]
-
-
-_TAGGERS: dict[str, Tagger] = {}
+        places = [m.span() for m in WORD.finditer(text)]
+        return none, [(*places[i], p) for i, p in reversed(spans)]
 
 
 def tagger(weights: dict) -> Tagger:
     """The tagger of these weights, made once in each Python worker."""
-    key = repr(weights)
-    if key not in _TAGGERS:
-        _TAGGERS.clear()
-        _TAGGERS[key] = Tagger(weights)
-    return _TAGGERS[key]
+    return held("toxicity", repr(weights), lambda: Tagger(weights))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
@@ -257,9 +260,13 @@ def tag(text: Column, weights: dict) -> Column:
     @F.arrow_udf(TAGGED)
     def tagged(texts: pa.Array) -> pa.Array:
         found = tagger(weights)
-        rows = [found.tag(t or "") for t in texts.to_pylist()]
-        spans = pa.array([[{"begin": a, "end": b, "p": p} for a, b, p in x] for _, x in rows], pa.list_(span))
-        return pa.StructArray.from_arrays([pa.array([s for s, _ in rows], pa.float64()), spans], ["score", "spans"])
+
+        def scored(part: list[str | None]) -> pa.Array:
+            rows = [found.tag(t or "") for t in part]
+            spans = pa.array([[{"begin": a, "end": b, "p": p} for a, b, p in x] for _, x in rows], pa.list_(span))
+            return pa.StructArray.from_arrays([pa.array([s for s, _ in rows], pa.float64()), spans], ["score", "spans"])
+
+        return by_slices(texts, scored)
 
     return tagged.asNondeterministic()(text)
 
@@ -271,9 +278,9 @@ def training(docs: DataFrame) -> DataFrame:
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the toxic spans of every document."""
-    held = docs.select("doc_id", "text", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
+    rows = docs.select("doc_id", "text", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
     weights = learn(training(docs), labels)
-    found = held.select("doc_id", "held_out", tag(F.col("text"), weights).alias("x"))
+    found = rows.select("doc_id", "held_out", tag(F.col("text"), weights).alias("x"))
     return found.select("doc_id", "held_out", F.col("x.score").alias("score"), (F.col("x.score") >= THRESHOLD).cast("int").alias("predicted"), F.expr("filter(x.spans, s -> s.p >= 0.5)").alias("spans"))
 
 
