@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.common import cut
+from loomery.llm.common import cut, spread_join
 
 MIN_SITES, MIN_WORDS = 8, 4
 #: Registers of a sketch, as a power of two; its relative error, three times over.
 REGISTERS = 12
 ERROR = 3 * 1.04 / 2 ** (REGISTERS / 2)
+#: Line hashes up to which they are broadcast (24 bytes each); beyond, lines meet them by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def line_hash(line: Column) -> Column:
@@ -41,6 +43,15 @@ def _key() -> tuple[Column, Column]:
     return F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2")
 
 
+def _among(lines: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose hash is one of those of ``few``, with the columns of ``few``. However often a line is
+    repeated, its rows stay where they are read, or are dealt over several tasks."""
+    few = cut(few)
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(few), ["a", "b"])
+    return spread_join(lines, few.withColumnRenamed("b", "__loomery_b"), "a", ["k1", "k2"]).filter("b = __loomery_b").drop("__loomery_b")
+
+
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(a, b, first) of each line hash on at least ``min_sites`` sites, ``first`` the smallest id that holds it."""
     lines = _lines(docs)
@@ -48,15 +59,14 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     margin = max(1.0, ERROR * min_sites)
     spread = cut(sketched.select("a", "b", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites - margin))
     near = spread.filter(F.col("sites") <= min_sites + margin).select("a", "b")
-    exact = lines.join(near, ["a", "b"], "left_semi").groupBy("a", "b", "site").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("site").alias("exact"))
+    exact = _among(lines, near).groupBy("a", "b", "site").agg(F.lit(1).alias("one")).groupBy("a", "b").agg(F.count("site").alias("exact"))
     return spread.join(exact, ["a", "b"], "left").filter(F.coalesce("exact", "sites") >= min_sites).select("a", "b", "first")
 
 
 def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs``, all columns kept, without boilerplate in ``text``; also ``__loomery_lines`` and ``__loomery_gone``,
     the number of lines before and of those removed."""
-    found = cut(boilerplate(docs, min_sites))
-    hits = _lines(docs).join(found, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("__loomery_drop"))
+    hits = _among(_lines(docs), boilerplate(docs, min_sites)).filter(~F.col("id").eqNullSafe(F.col("first"))).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("__loomery_drop"))
     hits = hits.select(F.col("k1").alias("__loomery_k1"), F.col("k2").alias("__loomery_k2"), "__loomery_drop")
     first, second = _key()
     keyed = docs.withColumns({"__loomery_k1": first, "__loomery_k2": second})
