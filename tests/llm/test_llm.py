@@ -124,6 +124,23 @@ def test_media_round_trip_and_resync(docs, none):
     assert media.parse(b"")["payload"] is None and media.parse(b"no audio")["seek"] == []
 
 
+def test_media_survives_any_bytes():
+    random_ = random.Random(8)
+    stream = media.wrap(bytes(range(64)) * 20)
+    for _ in range(400):
+        data = bytearray(stream[: random_.randrange(len(stream))])
+        for _ in range(random_.randrange(6)):
+            if data:
+                data[random_.randrange(len(data))] = random_.choice([0, 0xFF, 0xF3, 0xB2, random_.randrange(256)])
+        media.parse(bytes(data))
+    header = bytes([0xFF, 0xF3, 0x10, 0xC4])
+    size, _, _, side, _ = media.parse_header(header + bytes(4), 0)
+    table = media.parse(header + bytes(side) + (b"Xing" + b"\0\0\0\x0f").ljust(size - 4 - side, b"\1")[: size - 4 - side])["table"]
+    assert table is None or set(table) <= {"frames", "bytes", "toc"}
+    for value in ("\u00b2", "9" * 5000, "-1", ""):
+        assert media.parse(media._tag({"payload_bytes": "1"}).replace(b"\x001", b"\0" + value.encode("latin-1")))["payload"] in (None, b"")
+
+
 def test_media_reads_vbri_table():
     stream = bytearray(media.wrap(bytes(range(64)) * 100))
     want, at = media.parse(bytes(stream)), media.parse_tag(bytes(stream))[0]
@@ -153,16 +170,23 @@ def test_language_id(docs, none):
     assert kept.columns == docs.columns and kept.filter("doc_id in (300, 301, 302, 304)").count() == 0 and kept.count() == docs.count() - 4
 
 
-def test_phrases_are_greedy_longest_matches():
-    sample, text = "the cat sat on the mat", "the mat sat xx on"
-    model = langid.Model((("en", sample),))
+def greedy_phrases(sample, text):
     count, at = 0, 0
     while at < len(text):
         n = 0
         while at + n < len(text) and text[at : at + n + 1] in sample:
             n += 1
         count, at = count + 1, at + max(1, n)
-    assert model.phrases([text])[0][0] == count
+    return count
+
+
+def test_phrases_are_greedy_longest_matches(monkeypatch):
+    samples = ("the cat sat on the mat and the dog aaa", "der hund sass auf der matte aaaa")
+    model = langid.Model(tuple(zip(("en", "de"), samples, strict=True)))
+    texts = ["the mat sat xx on", "a" * 1000, "a", "the cat sat on the mat " * 40, *("".join(random.choices("the catsondrhu m", k=random.randint(1, 900))) for _ in range(60))]
+    for segment in (256, 16):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        assert model.phrases(texts).tolist() == [[greedy_phrases(s, t) for s in samples] for t in texts]
 
 
 def test_toxicity(docs, labels, none):
@@ -178,6 +202,13 @@ def test_toxicity(docs, labels, none):
     assert kept.columns == docs.columns
 
 
+def test_toxicity_finds_words_in_their_own_case():
+    weights = {"lexicon": {"idiot": 9.0}, "bias": -3.0, "transition": [[0.0, 0.0], [0.0, 0.0]], "slope": 1.0, "shift": 0.0, "none": 0.0}
+    for text in ("İstanbul IDIOT", "İa b Idiot zz qq yy", "ŉ idiot", "idiot"):
+        score, spans = toxicity.Tagger(weights).tag(text)
+        assert score > 0.9 and [text[a:b].lower() for a, b, _ in spans] == ["idiot"]
+
+
 def test_toxicity_fit_takes_every_labelled_text_and_hit(spark, monkeypatch):
     same = "a" * 90
     texts = [(1, f"{same} one {same}", 1), (2, f"{same} two {same}", 0), (3, f"{same} two {same}", 0)]
@@ -294,6 +325,43 @@ def test_jaccard_equals_brute_force(spark, docs, none):
     assert jaccard.groups(none).count() == 0
 
 
+def test_jaccard_large_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    monkeypatch.setattr(jaccard, "LARGE", 4)
+    random_ = random.Random(21)
+    word = lambda: random_.choice("abcdefghij") + str(random_.randrange(3000))
+    base, passage, table = [word() for _ in range(150)], [word() for _ in range(60)], []
+    for i in range(140):  # copies of one text at all distances around the threshold, in families with edits in common
+        words = list(base)
+        family = random.Random(i % 9)
+        for at in sorted(family.sample(range(150), family.randrange(4)), reverse=True):
+            words[at] = f"family{i % 9}"
+        for at in sorted(random_.sample(range(150), random_.choice([0, 1, 1, 2, 2, 3, 4])), reverse=True):
+            words[at : at + 1] = random_.choice([[], [word()], [words[at], word()]])
+        table.append((i, " ".join(words)))
+    table += [(200 + i, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(random_.randrange(60))])) for i in range(60)]
+    wanted = brute_groups(dict(table).items())
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    for each in (64, 0):
+        monkeypatch.setattr(jaccard, "PAIRS_EACH", each)
+        monkeypatch.setattr(jaccard, "ROUNDS", 3)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(frame).collect()} == wanted
+
+
+def test_one_deletion_neighbourhoods_decide(spark, monkeypatch):
+    table = [(2 * i + j, " ".join(f"w{i}x{k}" for k in range(14 - j))) for i in range(40) for j in (0, 1)]  # 10 and 9 shingles
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.groups(frame).collect()} == {i: i // 2 * 2 for i, _ in table}
+    assert jaccard.plan(10)[1] and not jaccard.plan(1000)[1]
+
+
+def test_keep_one_without_ids(spark):
+    x, y, z = (sentence("en", 30) for _ in range(3))
+    rows = [(5, x), (None, x), (None, y), (None, y), (6, z), (6, z), (7, z), (8, None), (8, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(5, x), (None, y), (None, y), (6, z), (6, z), (8, None), (8, "")], key=str)
+
+
 def test_neighbours_equal_brute_force(spark):
     random_ = np.random.default_rng(3)
     x = random_.normal(size=(700, 12)).astype(np.float32)
@@ -392,11 +460,52 @@ def test_lm_slopes_equal_differences():
         assert slope[name][at] == pytest.approx(numeric, rel=2e-3, abs=1e-6)
 
 
-def test_pipeline(spark, docs, labels, tmp_path):
+def test_pipeline_equals_brute_force(spark, docs, labels, tmp_path):
+    """Every stage against plain Python: letters, dense forward-backward, a count of sites, all pairs, every id once."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs.drop("score", "rank").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = docs.drop("score", "rank").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    plain.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "line_dedup", "ngram_jaccard_join", "packing"]
-    left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert 1 in left and not left & {300, 301, 304, 5, 10}
+    left = {r["doc_id"]: (r["text"], r["source"]) for r in plain.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+    weights = toxicity.learn(toxicity.training(plain.filter(F.col("doc_id").isin(list(left)))), labels)
+
+    def toxic(text):
+        held = [[weights["lexicon"][f] for f in toxicity.features(w) if f in weights["lexicon"]] for w in toxicity.words_of(text)]
+        if not any(held):
+            return weights["none"]
+        emission = np.array([[[0.0, sum(x) + weights["bias"]] for x in held]])
+        tags, _, _ = toxicity.marginals(emission, np.array(weights["transition"]), np.ones((1, len(held)), bool))
+        none = sum(math.log1p(-min(max(p, 1e-12), 1 - 1e-12)) for p, x in zip(tags[0, :, 1], held, strict=True) if x)
+        return 1 / (1 + math.exp(-(weights["slope"] * (math.log(-math.expm1(none)) - none) + weights["shift"])))
+
+    left = {i: x for i, x in left.items() if toxic(x[0]) < toxicity.THRESHOLD}
+    sites, first = {}, {}
+    for i, (text, source) in left.items():
+        for line in {x.strip(" ") for x in text.split("\n")}:
+            if len(line.split(" ")) >= linededup.MIN_WORDS:
+                sites.setdefault(line, set()).update([source] if source else [])
+                first[line] = min(i, first.get(line, i))
+    gone = {x for x, s in sites.items() if len(s) >= linededup.MIN_SITES}
+    left = {i: "\n".join(x for x in text.split("\n") if x.strip(" ") not in gone or first[x.strip(" ")] == i) for i, (text, _) in left.items()}
+    left = {i: left[i] for i, (_, root) in brute_groups(left.items()).items() if i == root}
+    library, found = Tokenizer.from_file(VOCAB), {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+    assert set(found) == set(left) and 1 in found and not set(found) & {300, 301, 304, 5, 10}
+    for i, text in left.items():
+        ids, end = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4"), 0
+        for start, length, crc in sorted(found[i]):
+            assert start == end and crc == zlib.crc32(ids[start : start + length].tobytes())
+            end += length
+        assert end == len(ids)
+    empty = tmp_path / "empty"
+    plain.limit(0).write.parquet(f"{empty}/documents.parquet")
+    labels.limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+    clash = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        clash = stage(spark, clash, str(tmp_path))
+        assert clash.columns == docs.columns
