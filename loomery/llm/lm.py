@@ -4,8 +4,8 @@ Words are lower-cased (A-Z) and cut into subwords of a public byte-level vocabul
 ends its word. The CLASSES classes are the most frequent units, an end of text, and shared classes for all other units,
 inside which units have add-one shares of their corpus counts. A one-layer causal self-attention model, written in
 numpy, predicts the next unit's class. It is trained once on every unit of every training document, in consecutive
-windows of WIDTH units: documents are dealt out to ROUNDS rounds by hash, in each of which tasks descend side by side and
-their weights are averaged by units. For scoring, windows of WIDTH units overlap by half, so that each unit is scored
+windows of WIDTH units: documents are dealt out to ROUNDS rounds by hash, in each of which tasks descend side by side, in
+batches that grow, and their weights are averaged by units. For scoring, windows of WIDTH units overlap by half, so that each unit is scored
 once with at least half a window before it, in batches of masked attention.
 
 The attention gives the class of a word's first unit; within that class a word has its corpus share among the words that
@@ -20,26 +20,27 @@ uniform; rows are scored one by one, repeated or not, and a null id counts as an
 
 from __future__ import annotations
 
+import base64
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.llm.bpe import codec
-from loomery.llm.common import cut, remainder, written
+from loomery.llm.common import held, remainder, slices, written
 
-CLASSES, SHARED = 96, 12
+CLASSES, SHARED = 128, 16
 WIDTH, DEPTH = 32, 16
-ROUNDS, BATCH, RATE = 3, 16, 0.01
-#: Characters of texts whose training windows are held at once.
-GROUP_CHARS = 1 << 21
+#: Windows of a step: BATCH at first, twice as many after every SETTLE steps, up to MOST_BATCH.
+ROUNDS, BATCH, SETTLE, MOST_BATCH, RATE = 3, 16, 64, 64, 0.01
 #: Most frequent words that every task holds; words that a task counts, and whose units it keeps, before it lets go.
-HEAD, WORDS_KEPT, UNITS_KEPT = 200_000, 200_000, 350_000
-WINDOWS_AT_ONCE = 1024
+HEAD, WORDS_KEPT, UNITS_KEPT = 200_000, 200_000, 250_000
+WINDOWS_AT_ONCE = 256
 END, START = CLASSES - 1, CLASSES
 #: Bounds of the weight of corpus shares.
 LEAST, MOST = 0.5, 0.97
@@ -51,40 +52,78 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def encoding(path: str) -> tiktoken.Encoding:
+    """The public tokenizer of this vocabulary, made once in each process that uses it."""
+
+    def made() -> tiktoken.Encoding:
+        import public_tokenizers
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        return tiktoken.Encoding("lm", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return held("lm encoding", path, made, 3)
+
+
+def vocabulary(path: str) -> int:
+    """Ids of the tokenizer."""
+    return encoding(path).max_token_value + 1
+
+
 def units_of(words: list[bytes], path: str) -> list[np.ndarray]:
     """Units of each word: subword id * 2 + (is it the last)."""
-    out = []
-    coder = codec(path)
-    for _, ids in coder.encode([" " + w.decode("utf-8", "surrogatepass") for w in words]):
-        units = np.frombuffer(ids, "<u4").astype(np.int32) * 2
+    encode, out = encoding(path).encode_ordinary, []
+    for word in words:
+        units = np.array(encode(" " + word.decode("utf-8", "surrogatepass")), np.int32) * 2
         units[-1] += 1
         out.append(units)
     return out
 
 
-class Units(dict):
-    """Word -> its units as bytes of 32-bit integers; a bounded cache."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.path = path
-
-    def learn(self, words: set[bytes]) -> None:
-        """Makes sure that ``words`` are there."""
-        if len(self) > UNITS_KEPT:
-            self.clear()
-        missing = list(words - self.keys())
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            self.update(zip(part, (u.tobytes() for u in units_of(part, self.path)), strict=True))
-
+class Lexicon:
+    """Units of words, and their counts if they are in ``head`` (else -1): one look-up a word, then arrays."""
 
-_UNITS: dict[str, Units] = {}
+    def __init__(self, path: str, head: dict[bytes, int]):
+        self.path, self.head = path, head
+        self.clear()
 
+    def clear(self) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.begin, self.seen, self.units = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-def units(path: str) -> Units:
-    """One cache for each vocabulary in each Python worker."""
-    return _UNITS.setdefault(path, Units(path))
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word in ``begin`` and ``seen``; words that are new are learned."""
+        if len(self.ids) > UNITS_KEPT:
+            self.clear()
+        found = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            fresh = list({words[i] for i in missing.tolist()})
+            units = units_of(fresh, self.path)
+            self.ids.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
+            self.units = np.concatenate([self.units, *units])
+            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(x) for x in units]))
+            self.seen = np.append(self.seen, np.fromiter(map(self.head.get, fresh, repeat(-1)), np.int64, len(fresh)))
+            found[missing] = [self.ids[words[i]] for i in missing.tolist()]
+        return found
+
+    def spelled(self, ids: np.ndarray, counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(units of texts of ``counts`` words each, -1 after each text, where words and ends begin, where texts do)."""
+        counts = np.asarray(counts, np.int64)
+        ends = np.cumsum(counts) + np.arange(len(counts))
+        sizes = np.ones(len(ids) + len(counts), np.int64)
+        is_word = np.ones(len(sizes), bool)
+        is_word[ends] = False
+        sizes[is_word] = self.begin[ids + 1] - self.begin[ids]
+        begin = np.cumsum(sizes) - sizes
+        flat = np.full(int(sizes.sum()), -1, np.int32)
+        flat[np.repeat(is_word, sizes)] = self.units[_ranges(self.begin[ids], sizes[is_word])]
+        return flat, begin, begin[ends - counts]
+
+
+def _ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs of ``sizes`` from ``begin`` on, one run after the other."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 class Classes:
@@ -118,25 +157,14 @@ def start_weights(prior: np.ndarray) -> dict[str, np.ndarray]:
 MASK = np.where(np.tril(np.ones((WIDTH, WIDTH), bool)), 0, -1e9).astype(np.float32)
 
 
-def _attend(w: dict[str, np.ndarray], classes: np.ndarray, used: np.ndarray, since: int) -> tuple:
-    """Masked attention of positions from ``since`` on over all before: what the output layer sees, and the steps."""
-    x = w["embed"][classes] + w["place"]
-    asks, keys, values = x[:, since:] @ w["query"], x @ w["key"], x @ w["value"]
-    scores = asks @ keys.transpose(0, 2, 1) / np.float32(math.sqrt(DEPTH)) + MASK[since:]
-    scores = np.where(used[:, None, :], scores, np.float32(-1e9))
-    scores -= scores.max(2, keepdims=True)
-    shares = np.exp(scores)
-    shares /= shares.sum(2, keepdims=True)
-    return x, asks, keys, values, shares, x[:, since:] + shares @ values
-
-
 def log_shares(w: dict[str, np.ndarray], classes: np.ndarray, used: np.ndarray, target: np.ndarray, since: int) -> np.ndarray:
     """Natural log-probability of ``target`` classes at positions from ``since`` on."""
     x = w["embed"][classes] + w["place"]
     asks = x[:, since:] @ (w["query"] / np.float32(math.sqrt(DEPTH)))
     weights = asks @ (x @ w["key"]).transpose(0, 2, 1)
-    weights += np.where(used, np.float32(0), np.float32(-1e9))[:, None, :]
     weights += MASK[since:]
+    part = np.flatnonzero(~used.all(1))
+    weights[part] += np.where(used[part], np.float32(0), np.float32(-1e9))[:, None, :]
     _exponentiate(weights)
     total = weights.sum(2, keepdims=True)
     seen = x[:, since:] + weights @ (x @ w["value"]) / np.maximum(total, np.float32(1e-30))
@@ -159,29 +187,37 @@ def _exponentiate(x: np.ndarray) -> np.ndarray | np.float32:
 
 
 def gradient(w: dict[str, np.ndarray], classes: np.ndarray, target: np.ndarray, used: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    """Slopes of the mean cross-entropy of whole windows, and that mean."""
-    x, asks, keys, values, shares, seen = _attend(w, classes, used, 0)
-    logits = seen @ w["out"] + w["bias"]
-    logits -= logits.max(2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(2, keepdims=True)
-    n = max(1, used.sum())
-    loss = -np.log(np.take_along_axis(p, target[:, :, None], 2)[:, :, 0] + 1e-30)[used].sum() / n
-    np.put_along_axis(p, target[:, :, None], np.take_along_axis(p, target[:, :, None], 2) - 1, 2)
-    p *= used[:, :, None] / np.float32(n)
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    slope = {"out": flat(seen).T @ flat(p), "bias": flat(p).sum(0)}
-    back = p @ w["out"].T
+    """Slopes of the mean cross-entropy of whole windows, and that mean; ``used`` are the first places of each."""
+    size, kind, root = len(classes), w["out"].dtype, w["out"].dtype.type(math.sqrt(DEPTH))
+    x = w["embed"][classes] + w["place"]
+    flat = x.reshape(-1, DEPTH)
+    asks, keys, values = (a.reshape(size, WIDTH, DEPTH) for a in np.split(flat @ np.concatenate([w["query"] / root, w["key"], w["value"]], 1), 3, 1))
+    shares = asks @ keys.transpose(0, 2, 1)
+    shares += MASK  # places that are not used come last, so no other looks at them
+    _exponentiate(shares)
+    shares /= shares.sum(2, keepdims=True)
+    seen = (x + shares @ values).reshape(-1, DEPTH)
+    p = seen @ w["out"]
+    p += w["bias"]
+    _exponentiate(p)
+    p /= (p @ np.ones(CLASSES, kind))[:, None]
+    goal, real, rows = target.ravel(), used.ravel(), np.arange(size * WIDTH)
+    n = max(1, int(real.sum()))
+    loss = -np.log(p[rows, goal] + 1e-30)[real].sum() / n
+    p[rows, goal] -= 1
+    p *= (real / kind.type(n)).astype(kind)[:, None]
+    slope = {"out": seen.T @ p, "bias": p.sum(0)}
+    back = (p @ w["out"].T).reshape(size, WIDTH, DEPTH)
     to_shares, to_values = back @ values.transpose(0, 2, 1), shares.transpose(0, 2, 1) @ back
-    to_scores = shares * (to_shares - (to_shares * shares).sum(2, keepdims=True)) / np.float32(math.sqrt(DEPTH))
-    to_asks, to_keys = to_scores @ keys, to_scores.transpose(0, 2, 1) @ asks
-    for name, d in (("query", to_asks), ("key", to_keys), ("value", to_values)):
-        slope[name] = flat(x).T @ flat(d)
-        back = back + d @ w[name].T
+    to_shares -= np.einsum("bij,bij->bi", to_shares, shares)[:, :, None]
+    to_shares *= shares
+    moves = np.concatenate([to_shares @ keys / root, to_shares.transpose(0, 2, 1) @ asks, to_values], 2).reshape(-1, 3 * DEPTH)
+    slope |= dict(zip(("query", "key", "value"), np.split(flat.T @ moves, 3, 1), strict=True))
+    back += (moves @ np.concatenate([w["query"], w["key"], w["value"]], 1).T).reshape(back.shape)
     slope["place"] = back.sum(0)
-    embed = np.zeros(SHAPES["embed"], np.float32)
-    np.add.at(embed, classes.ravel(), flat(back))
-    return slope | {"embed": embed}, float(loss)
+    where = classes.reshape(-1, 1) * DEPTH + np.arange(DEPTH)
+    slope["embed"] = np.bincount(where.ravel(), back.ravel(), (CLASSES + 1) * DEPTH).reshape(-1, DEPTH).astype(kind)
+    return slope, float(loss)
 
 
 class Descent:
@@ -203,55 +239,46 @@ class Descent:
         return loss
 
 
-def training_windows(texts: Iterator[str | None], path: str, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def training_windows(groups: Iterator[list[str | None]], path: str, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(classes of WIDTH units and the one before, how many are real) of consecutive windows that hold every unit of every
     text; those of a group of texts in an order by chance, so that a batch is not of one text."""
-    cache, random = units(path), np.random.default_rng(13)
-    for group in _groups(texts):
+    words, random = Lexicon(path, {}), np.random.default_rng(13)
+    for group in groups:
         split = [words_of(text) for text in group]
-        cache.learn(set().union(*split))
-        lines, counts = [], []
-        for words in split:
-            inside = of[np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32)]
-            size = len(inside) + 1  # with the end
-            each = -(-size // WIDTH)
-            line = np.zeros(each * WIDTH + 1, np.int16)
-            line[0], line[1:size], line[size] = START, inside, END
-            lines.append(np.lib.stride_tricks.sliding_window_view(line, WIDTH + 1)[::WIDTH])
-            counts.append(np.minimum(size - np.arange(each) * WIDTH, WIDTH))
-        order = random.permutation(sum(map(len, counts)))
-        yield np.concatenate(lines)[order], np.concatenate(counts)[order]
-
-
-def _groups(texts: Iterator[str | None]) -> Iterator[list[str | None]]:
-    """``texts`` by up to 256, or fewer if they are long."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text or "")
-        if len(group) == 256 or size > GROUP_CHARS:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+        flat, _, begin = words.spelled(words.look_up(list(chain.from_iterable(split))), [len(x) for x in split])
+        goal = np.where(flat < 0, END, of[flat]).astype(np.int16)
+        before = np.empty_like(goal)
+        before[1:] = goal[:-1]
+        before[begin] = START
+        sizes = np.diff(begin, append=len(flat))
+        each = -(-sizes // WIDTH)
+        at = _ranges(np.zeros_like(each), each) * WIDTH
+        real = np.minimum(np.repeat(sizes, each) - at, WIDTH)
+        at += np.repeat(begin, each)
+        lines = np.zeros((len(at), WIDTH + 1), np.int16)
+        lines[:, 0] = before[at]
+        inside = np.arange(WIDTH) < real[:, None]
+        lines[:, 1:][inside] = goal  # windows follow one another, so do their units
+        order = random.permutation(len(at))
+        yield lines[order], real[order]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all documents; tasks count before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        seen: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
-            held.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+            seen.clear()
             return batch
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                for text in batch.column(0)[i : i + 256].to_pylist():
-                    held.update(words_of(text))
-                if len(held) > WORDS_KEPT:
+            for part in slices(batch, "text"):
+                for text in part.column(0).to_pylist():
+                    seen.update(words_of(text))
+                if len(seen) > WORDS_KEPT:
                     yield out()
         yield out()
 
@@ -262,7 +289,7 @@ def unit_counts(counts: DataFrame, path: str) -> tuple[dict[int, int], dict[int,
     """Corpus counts of units, and of those that begin a word; the vocabulary bounds their number."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 2 * len(codec(path).bytes_of)
+        size = 2 * vocabulary(path)
         total = np.zeros(2 * size, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
@@ -275,7 +302,7 @@ def unit_counts(counts: DataFrame, path: str) -> tuple[dict[int, int], dict[int,
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["u", "c"])
 
     rows = counts.select("word", "c").mapInArrow(counted, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")).collect()
-    size = 2 * len(codec(path).bytes_of)
+    size = 2 * vocabulary(path)
     return {r["u"]: r["c"] for r in rows if r["u"] < size}, {r["u"] - size: r["c"] for r in rows if r["u"] >= size}
 
 
@@ -291,19 +318,20 @@ def fit(docs: DataFrame, classes: Classes, path: str) -> dict[str, np.ndarray]:
             now, of = shared.value
             descent, seen = Descent(now), 0
             rest, left = np.zeros((0, WIDTH + 1), np.int16), np.zeros(0, np.int64)
-            texts = (t for b in batches for i in range(0, b.num_rows, 256) for t in b.column(0)[i : i + 256].to_pylist())
+            groups = (part.column(0).to_pylist() for batch in batches for part in slices(batch, "text"))
 
             def step(lines: np.ndarray, real: np.ndarray) -> None:
                 lines = lines.astype(np.int64)
                 descent.take(lines[:, :-1], lines[:, 1:], np.arange(WIDTH) < real[:, None])
 
-            for lines, real in training_windows(texts, path, of):
+            for lines, real in training_windows(groups, path, of):
                 seen += int(real.sum())
                 lines, real = np.concatenate([rest, lines]), np.concatenate([left, real])
-                whole = len(lines) // BATCH * BATCH
-                for at in range(0, whole, BATCH):
-                    step(lines[at : at + BATCH], real[at : at + BATCH])
-                rest, left = lines[whole:], real[whole:]
+                at = 0
+                while at + (size := min(MOST_BATCH, BATCH << descent.step // SETTLE)) <= len(lines):
+                    step(lines[at : at + size], real[at : at + size])
+                    at += size
+                rest, left = lines[at:], real[at:]
             if len(rest):
                 step(rest, left)
             flat = np.concatenate([descent.w[k].ravel() for k in SHAPES]).astype(np.float64)
@@ -335,18 +363,16 @@ class Scorer:
         with np.errstate(divide="ignore"):
             self.per_begin = np.where(classes.begins > 0, 1 / classes.begins, 0)
 
-    def unit_scores(self, lines: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """Of each unit of each line of units: its class, log10 of the class's probability and of the unit's share in
-        it; -1 is the end of a text."""
+    def unit_scores(self, flat: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each unit of texts that begin at ``begins``: its class, log10 of the class's probability and of the unit's
+        share in it; -1 is the end of a text."""
         half = WIDTH // 2
-        flat = np.concatenate(lines)
         target = np.where(flat < 0, END, self.classes.of[flat]).astype(np.int16)
         extra = np.where(flat < 0, 0, self.classes.share[flat])
-        sizes = np.array([len(x) for x in lines])
-        begins = np.cumsum(sizes) - sizes
+        sizes = np.diff(begins, append=len(flat))
         each = -(-sizes // half)
-        owner = np.repeat(np.arange(len(lines)), each)
-        first = (np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)) * half
+        owner = np.repeat(np.arange(len(sizes)), each)
+        first = _ranges(np.zeros_like(each), each) * half
         out = np.empty(len(flat), np.float32)
         for a in range(0, len(owner), WINDOWS_AT_ONCE):
             who, spot = owner[a : a + WINDOWS_AT_ONCE], first[a : a + WINDOWS_AT_ONCE]
@@ -357,35 +383,36 @@ class Scorer:
             goal = target[np.clip(at[:, half:], 0, len(flat) - 1)]
             found = log_shares(self.weights, np.where(used, before, 0), used, goal, half)
             out[at[:, half:][used[:, half:]]] = found[used[:, half:]]
-        ends = np.cumsum(sizes)[:-1]
-        return np.split(target, ends), np.split(out / np.float32(math.log(10)), ends), np.split(extra, ends)
+        return target, out / np.float32(math.log(10)), extra
 
-    def score(self, texts: list[str | None]) -> Iterator[tuple]:
+    def score(self, texts: list[str | None], words: Lexicon) -> tuple[list, ...]:
         """(tokens, known head tokens, base of head tokens, score without the mixtures of other words, these words as they
-        occur, the corpus share that one count is to each, their spelled probabilities) of each text."""
-        cache = units(self.path)
+        occur, the corpus share that one count is to each, their spelled probabilities) of the texts."""
         split = [words_of(t) for t in texts]
-        cache.learn(set().union(*split))
-        lines, counts = [], []
-        for words in split:
-            parts = list(map(cache.__getitem__, words))
-            counts.append(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
-            lines.append(np.append(np.frombuffer(b"".join(parts), np.int32), np.int32(-1)))
-        head, log_all = self.head.get, math.log10(self.all)
-        for words, n, kind, line, extra in zip(split, counts, *self.unit_scores(lines), strict=True):
-            seen = np.fromiter((head(w, -1) for w in words), np.int64, len(words))
-            seen = np.append(seen, self.ends)
-            begin = np.append(0, np.cumsum(n))
-            first = line[begin].astype(np.float64)
-            spelled = 10.0 ** np.maximum(np.add.reduceat(line + extra, begin, dtype=np.float64) - first, -300)
-            per_count = self.per_begin[kind[begin]]
-            mixed = self.mix * np.maximum(seen, 0) * per_count + (1 - self.mix) * spelled
-            mixed[-1] = 1.0  # the end is alone in its class
-            inside = seen >= 0
-            score = float(first.sum() + np.log10(mixed[inside]).sum())
-            known = seen[inside]
-            rest = np.flatnonzero(~inside)
-            yield len(words) + 1, int((known > 0).sum()), float((np.log10(known + 1.0) - log_all).sum()), score, [words[i] for i in rest], per_count[rest], spelled[rest]
+        every, counts = list(chain.from_iterable(split)), np.array([len(x) for x in split], np.int64)
+        ids = words.look_up(every)
+        flat, begin, texts_begin = words.spelled(ids, counts)
+        kind, line, extra = self.unit_scores(flat, texts_begin)
+        ends = np.cumsum(counts) + np.arange(len(counts))  # among words and ends
+        is_word = np.ones(len(begin), bool)
+        is_word[ends] = False
+        seen = np.full(len(begin), self.ends, np.int64)
+        seen[is_word] = words.seen[ids]
+        first = line[begin].astype(np.float64)
+        spelled = 10.0 ** np.maximum(np.add.reduceat(line + extra, begin, dtype=np.float64) - first, -300)
+        per_count = self.per_begin[kind[begin]]
+        mixed = self.mix * np.maximum(seen, 0) * per_count + (1 - self.mix) * spelled
+        mixed[ends] = 1.0  # the end is alone in its class
+        inside = seen >= 0
+        total = first + np.where(inside, np.log10(mixed), 0)
+        base = np.where(inside, np.log10(np.maximum(seen, 0) + 1.0) - math.log10(self.all), 0)
+        starts = ends - counts
+        rest = np.flatnonzero(~inside)
+        of_text = np.searchsorted(ends, rest)
+        cuts = np.cumsum(np.bincount(of_text, minlength=len(counts)))[:-1]
+        lists = [[every[i] for i in part] for part in np.split(rest - of_text, cuts)]
+        sums = [np.add.reduceat(x, starts).tolist() for x in ((inside & (seen > 0)).astype(np.int64), base, total)]
+        return (counts + 1).tolist(), *sums, lists, np.split(per_count[rest], cuts), np.split(spelled[rest], cuts)
 
 
 def head_of(counts: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
@@ -409,13 +436,11 @@ def score(docs: DataFrame, path: str, model: Scorer, rest: DataFrame) -> DataFra
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, words array<binary>, per_count array<double>, spelled array<double>"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, words = shared.value, Lexicon(path, shared.value.head)
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.float64())]
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                columns = list(zip(*model.score(part.column("text").to_pylist()), strict=True)) or [[] for _ in range(7)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            for part in slices(batch, "text"):
+                arrays = [pa.array(c, k) for c, k in zip(model.score(part.column("text").to_pylist(), words), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *arrays], ["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score_head", "words", "per_count", "spelled"])
 
     main = written(docs.select("doc_id", "held_out", "text").mapInArrow(scored, schema)).withColumn("row", F.monotonically_increasing_id())
@@ -439,7 +464,7 @@ def predict(docs: DataFrame, path: str) -> DataFrame:
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     ends = train.count()
     tokens, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    classes = Classes(*unit_counts(counts, path), ends, len(codec(path).bytes_of))
+    classes = Classes(*unit_counts(counts, path), ends, vocabulary(path))
     rest, head = head_of(counts)
     model = Scorer(fit(train, classes, path), classes, head, tokens, kinds, sums["once"], ends, path)
     return score(held, path, model, rest).withColumn("train_tokens", F.lit(tokens).cast("long"))
