@@ -3,8 +3,9 @@
 Equal vectors are one point. Each of CURVES orderings turns points by its own random rotation, takes DIMS coordinates,
 shifts them and walks them along a Hilbert curve; Spark range-partitions the keys of all curves, and a point's global
 rank on a curve follows from the partitions' counts. A query point meets the points within a window of ranks on every
-curve; buckets of at most BUCKET ranks bound every task's group, whatever vector is common. What the curves find is
-merged, scored by the exact cosine in double precision and ranked.
+curve; buckets of at most BUCKET ranks bound every task's group, whatever vector is common. Only ids and codes of a byte
+a component travel along the curves: each curve gives the NEAR nearest by code, the curves' finds are merged, and the
+NEAR best of a query point are scored by the exact cosine in double precision, for which alone vectors are fetched.
 
 The window is measured on each table: SAMPLE query points of smallest hash are compared with all points, and the window
 is the least in which the curves find the part AIM of their true neighbours, WINDOW at least. So it grows with the table
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomery.llm.common import cut
+from loomery.llm.common import cut, spread_join
 
 CURVES, WINDOW, DIMS, BITS, SEED = 40, 512, 12, 5, 20_240_229
 PARTITIONS = 64
+#: Points that a curve, and all curves together, pass on for exact scores, for each that is asked for.
+NEAR = 8
 #: Query points whose true neighbours are looked up; the part of these that the window holds; most ranks in a bucket.
 SAMPLE, AIM, BUCKET = 256, 0.95, 16_384
 
@@ -77,6 +80,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (y := x / big) / np.sqrt((y * y).sum(1, keepdims=True))
 
 
+def codes(vec: pa.Array) -> pa.Array:
+    """Vectors with a signed byte a component, scaled to their largest."""
+    out = []
+    for value in vec:
+        x = np.frombuffer(value.as_py(), np.float64)
+        out.append(np.rint(x / np.abs(x).max() * 127).astype(np.int8).tobytes())
+    return pa.array(out, pa.binary())
+
+
 def vectors(df: DataFrame) -> DataFrame:
     """(vec_id, vec): the usable vectors as double-precision bytes."""
 
@@ -160,7 +172,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, size // 8, np.int32)), pa.array(np.full(n, curve, np.int32)), pa.array(keys(unit, curve)), part.column("point")], ["size", "curve", "key", "point"])
 
-    ordered = points.select("point", "vec").mapInArrow(keyed, "size int, curve int, key long, point long").repartitionByRange(PARTITIONS, "size", "curve", "key", "point")
+    ordered = points.select("point", "vec").mapInArrow(keyed, "size int, curve int, key long, point long").repartitionByRange(max(PARTITIONS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "size", "curve", "key", "point")
     ranged = cut(ordered.withColumn("part", F.spark_partition_id()))
     line = Window.partitionBy("size", "curve")
     counts = ranged.groupBy("size", "curve", "part").count()
@@ -170,32 +182,52 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     window = window_of(placed, true_neighbours(points, searched, k))
     bucket = min(window, BUCKET)
     reach = -(-window // bucket)
-    full = placed.join(points.select("point", "vec"), "point").join(searched, "point", "left").withColumn("bucket", F.floor(F.col("rank") / bucket))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("point"), codes(batch.column("vec"))], ["point", "code"])
+
+    short = cut(points.select("point", "vec").mapInArrow(coded, "point long, code binary"))
+    full = placed.join(short, "point").join(searched, "point", "left").withColumn("bucket", F.floor(F.col("rank") / bucket))
     asking = full.filter("asks").withColumn("bucket", F.explode(F.sequence(F.col("bucket") - reach, F.col("bucket") + reach))).withColumn("role", F.lit(True))
-    both = full.withColumn("role", F.lit(False)).unionByName(asking).select("size", "curve", "bucket", "role", "rank", "point", "vec")
+    both = full.withColumn("role", F.lit(False)).unionByName(asking).select("size", "curve", "bucket", "role", "rank", "point", "code")
+    most = NEAR * k
 
     def met(group: pa.Table) -> pa.Table:
         role = group.column("role").to_numpy(zero_copy_only=False)
         rank, point = group.column("rank").to_numpy(), group.column("point").to_numpy()
-        x = _vectors(group.column("vec"))
+        data = group.column("code").to_pylist()
+        x = np.frombuffer(b"".join(data), np.int8).reshape(len(data), -1).astype(np.float32)
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
         ask, have = np.flatnonzero(role), np.flatnonzero(~role)
-        q, v, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        q, v, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
         if len(ask) and len(have):
-            unit = _unit(x)
+            theirs = x[have].T
             for at in range(0, len(ask), 256):
                 rows = ask[at : at + 256]
-                near = unit[rows] @ unit[have].T
+                near = x[rows] @ theirs
                 near[(np.abs(rank[rows][:, None] - rank[have]) > window) | (point[rows][:, None] == point[have])] = -np.inf
-                take = min(k + 3, len(have))
+                take = min(most, len(have))
                 best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                good = np.isfinite(np.take_along_axis(near, best, 1))
-                a, b = rows[np.nonzero(good)[0]], have[best[good]]
-                q.append(point[a])
-                v.append(point[b])
-                s.append(cosine(x[a], x[b]))
+                score = np.take_along_axis(near, best, 1)
+                good = np.isfinite(score)
+                q.append(point[rows[np.nonzero(good)[0]]])
+                v.append(point[have[best[good]]])
+                s.append(score[good])
         return pa.table([pa.array(np.concatenate(c)) for c in (q, v, s)], ["q", "v", "score"])
 
-    found = both.groupBy("size", "curve", "bucket").applyInArrow(met, "q long, v long, score double").groupBy("q", "v").agg(F.max("score").alias("score"))
+    merged = both.groupBy("size", "curve", "bucket").applyInArrow(met, "q long, v long, score float").groupBy("q", "v").agg(F.max("score").alias("score"))
+    first = Window.partitionBy("q").orderBy(F.desc("score"), "v")
+    likely = merged.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).select("q", "v")
+
+    def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("a"), batch.column("b"), strict=True)
+            score = [float(cosine(*(np.frombuffer(x.as_py(), np.float64)[None] for x in pair))[0]) for pair in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("v"), pa.array(score, pa.float64())], ["q", "v", "score"])
+
+    sides = [points.select(F.col("point").alias(name), F.col("vec").alias(column)) for name, column in (("q", "a"), ("v", "b"))]
+    found = spread_join(cut(likely), sides[1], "v", ["q"]).join(sides[0], "q").select("q", "v", "a", "b").mapInArrow(exactly, "q long, v long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "v")
     top = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("q", "v", "score")
 
