@@ -4,7 +4,7 @@ Equal vectors are one point. Each of CURVES orderings turns points by its own ra
 shifts them and walks them along a Hilbert curve; Spark range-partitions the keys of all curves, and a point's global
 rank on a curve follows from the partitions' counts. A query point meets the points within a window of ranks on every
 curve; buckets of at most BUCKET ranks bound every task's group, whatever vector is common. Only ids and codes of a byte
-a component travel along the curves: each curve gives the NEAR nearest by code, the curves' finds are merged, and the
+a component travel along the curves: each curve gives some of the nearest by code, the curves' finds are merged, and the
 NEAR best of a query point are scored by the exact cosine in double precision, for which alone vectors are fetched.
 
 The window is measured on each table: SAMPLE query points of smallest hash are compared with all points, and the window
@@ -27,7 +27,7 @@ from loomery.llm.common import cut, spread_join
 
 CURVES, WINDOW, DIMS, BITS, SEED = 40, 512, 12, 5, 20_240_229
 PARTITIONS = 64
-#: Points that a curve, and all curves together, pass on for exact scores, for each that is asked for.
+#: Points that all curves together pass on for exact scores, for each that is asked for; a curve passes on three.
 NEAR = 8
 #: Query points whose true neighbours are looked up; the part of these that the window holds; most ranks in a bucket.
 SAMPLE, AIM, BUCKET = 256, 0.95, 16_384
@@ -207,7 +207,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 rows = ask[at : at + 256]
                 near = x[rows] @ theirs
                 near[(np.abs(rank[rows][:, None] - rank[have]) > window) | (point[rows][:, None] == point[have])] = -np.inf
-                take = min(most, len(have))
+                take = min(3 * k, len(have))
                 best = np.argpartition(-near, take - 1, axis=1)[:, :take]
                 score = np.take_along_axis(near, best, 1)
                 good = np.isfinite(score)
