@@ -24,9 +24,8 @@ def overlap_counts(docs: DataFrame, grams: DataFrame, key: str = "doc_id", width
     normal = T.nfkc_casefold(F.col("text"))
     tokens = T.code_tokens(normal) if code else T.words(normal)
     each = docs.select(key, tokens.alias("t")).select(key, F.explode(T.shingles(F.col("t"), width)).alias("g"))
-    kept = grams.cache()
-    small = kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return each.join(F.broadcast(kept) if small else kept, "g", "left_semi").groupBy(key).agg(F.count("*").alias("hits"))
+    small = grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return each.join(F.broadcast(grams) if small else grams, "g", "left_semi").groupBy(key).agg(F.count("*").alias("hits"))
 
 
 def first_occurrence(df: DataFrame, by: Column, order: str) -> DataFrame:
@@ -40,7 +39,7 @@ def decontaminate(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """Each document with its shingle hits and whether it repeats an earlier text; ``accepted`` if neither."""
     words = overlap_counts(docs, boundary(texts))
     code = overlap_counts(docs, boundary(texts, width=CODE_WIDTH, code=True), width=CODE_WIDTH, code=True).withColumnRenamed("hits", "code_hits")
-    seen = first_occurrence(docs, F.xxhash64(T.nfkc_casefold(F.col("text"))), "doc_id")
+    seen = first_occurrence(docs, F.sha2(T.nfkc_casefold(F.col("text")).cast("binary"), 256), "doc_id")
     joined = seen.join(words, "doc_id", "left").join(code, "doc_id", "left").na.fill(0, ["hits", "code_hits"])
     return joined.withColumn("accepted", ~F.col("duplicate") & (F.col("hits") == 0) & (F.col("code_hits") == 0))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Licences that the policy accepts.
-LICENSES = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "ISC", "MIT", "PSF-2.0", "Unlicense", "Zlib"]
+LICENSES = ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "ISC", "MIT", "Unlicense", "Zlib"]
 
 
 def accepted(licenses: Column, kind: Column, score: Column, encoding: Column, size: Column) -> Column:

@@ -12,10 +12,14 @@ from loomery.sources.tables import table
 from loomery.streaming import events as S
 
 
+#: Every licence of the policy, alone or with another, others, and none.
+LICENSES_SEEN = [*([x] for x in M.LICENSES), ["MIT", "0BSD"], ["MIT", "GPL-3.0"], ["PSF-2.0"], ["GPL-3.0"], []]
+
+
 def code_rows(s, d):
     """Code metadata derived from the part table."""
     p, key = table(s, d, "part"), F.col("p_partkey")
-    licenses = F.when(key % 5 == 0, F.array(F.lit("MIT"))).when(key % 5 == 1, F.array(F.lit("Apache-2.0"), F.lit("MIT"))).when(key % 5 == 2, F.array(F.lit("GPL-3.0"))).when(key % 5 == 3, F.array(F.lit("BSD-3-Clause"))).otherwise(F.array().cast("array<string>"))
+    licenses = F.element_at(F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in LICENSES_SEEN)), (key % len(LICENSES_SEEN) + 1).cast("int"))
     return p.select(
         F.sha1((key % 1500).cast("string").cast("binary")).alias("blob"), F.concat(F.lit("owner/r"), (key % 97).cast("string")).alias("repo"), F.concat(F.lit("/p"), key.cast("string")).alias("path"), licenses.alias("licenses"),
         F.when(key % 3 == 0, "no_license").otherwise("permissive").alias("kind"), (F.col("p_size") % 6).alias("score"), F.when(key % 11 == 0, "latin-1").otherwise("UTF-8").alias("encoding"), (F.col("p_size") * 40).alias("size"), key.alias("row"),
@@ -97,9 +101,9 @@ QUERIES = {
 }
 
 CODE = """c AS (SELECT sha1((p_partkey % 1500)::varchar) AS blob, 'owner/r' || (p_partkey % 97) AS repo, '/p' || p_partkey AS path,
-  CASE p_partkey % 5 WHEN 0 THEN ['MIT'] WHEN 1 THEN ['Apache-2.0', 'MIT'] WHEN 2 THEN ['GPL-3.0'] WHEN 3 THEN ['BSD-3-Clause'] ELSE []::varchar[] END AS licenses,
+  CASE p_partkey % 14 """ + " ".join(f"WHEN {i} THEN {x}::varchar[]" for i, x in enumerate(LICENSES_SEEN)) + """ END AS licenses,
   CASE WHEN p_partkey % 3 = 0 THEN 'no_license' ELSE 'permissive' END AS kind, p_size % 6 AS score, CASE WHEN p_partkey % 11 = 0 THEN 'latin-1' ELSE 'UTF-8' END AS encoding, p_size * 40 AS size, p_partkey AS row FROM part),
-a AS (SELECT *, kind = 'permissive' AND len(licenses) > 0 AND NOT list_contains(licenses, 'GPL-3.0') AND score IN (4, 5) AND encoding = 'UTF-8' AND size BETWEEN 128 AND 1000000 AS accepted FROM c)"""
+a AS (SELECT *, kind = 'permissive' AND len(licenses) > 0 AND list_has_all(['0BSD', 'Apache-2.0', 'BSD-2-Clause', 'BSD-3-Clause', 'CC0-1.0', 'ISC', 'MIT', 'Unlicense', 'Zlib'], licenses) AND score IN (4, 5) AND encoding = 'UTF-8' AND size BETWEEN 128 AND 1000000 AS accepted FROM c)"""
 ALIGN = CODE + """, u AS (SELECT blob, repo, path, row AS place, row % 11 = 0 AS generated, row % 13 = 0 AS vendor FROM c WHERE row % 7 <> 0),
 h AS (SELECT repo, path, blob, count(*) AS occurrences, min(place) FILTER (WHERE NOT vendor AND NOT generated) AS chosen, bool_and(vendor) AS av FROM u GROUP BY ALL),
 j AS (SELECT a.row, occurrences, chosen, CASE WHEN occurrences IS NULL THEN 'absent' WHEN chosen IS NOT NULL THEN NULL WHEN av THEN 'vendor' ELSE 'generated' END AS reason FROM a LEFT JOIN h USING (repo, path, blob) WHERE size >= 128)"""

@@ -62,8 +62,8 @@ QUERIES = {
     "contamination_13gram": lambda s, d: C.overlap_counts(docs(s, d), C.boundary(table(s, d, "benchmark"))),
     "contamination_code_8gram": lambda s, d: C.overlap_counts(docs(s, d), C.boundary(table(s, d, "benchmark"), width=8, code=True), width=8, code=True),
     "overlap_kind_exact_or_ngram": lambda s, d: C.overlap_kind(docs(s, d), table(s, d, "benchmark")),
-    "exact_dup_all_scanned": lambda s, d: C.first_occurrence(docs(s, d), T.nfkc_casefold(F.col("text")), "doc_id").select("doc_id", "duplicate"),
-    "exact_dup_after_quality": lambda s, d: C.first_occurrence(Q.with_web_quality(docs(s, d)).filter("accepted"), T.nfkc_casefold(F.col("text")), "doc_id").filter("not duplicate").select("doc_id"),
+    "exact_dup_all_scanned": lambda s, d: C.first_occurrence(docs(s, d), H.sha(T.nfkc_casefold(F.col("text"))), "doc_id").select("doc_id", "duplicate"),
+    "exact_dup_after_quality": lambda s, d: C.first_occurrence(Q.with_web_quality(docs(s, d)).filter("accepted"), H.sha(T.nfkc_casefold(F.col("text"))), "doc_id").filter("not duplicate").select("doc_id"),
     "word_tokens_stats": lambda s, d: docs(s, d).select("doc_id", T.words(T.nfkc_casefold(F.col("text"))).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.size(F.array_distinct("w")).alias("n_unique")),
     "code_token_counts": lambda s, d: docs(s, d).select("doc_id", F.size(T.code_tokens(T.nfkc_casefold(F.col("text")))).alias("n")),
     "char_class_fractions": lambda s, d: docs(s, d).select("doc_id", F.round(T.share(F.col("text"), r"\p{L}"), 9).alias("alpha"), F.round(T.share(F.col("text"), r"\p{Nd}"), 9).alias("digit"), F.round(T.share(F.col("text"), r"[^\p{L}\p{N}\s]"), 9).alias("symbol")),
