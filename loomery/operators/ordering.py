@@ -20,23 +20,48 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int)
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("place") <= k)
 
 
-def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int = 64) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, so that two passes over it see the same partitions
+    even after executors are lost. The session's spark.checkpoint.dir is used, else a folder in the warehouse."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
+    return df.checkpoint(eager=True)
+
+
+def _in_ranges(df: DataFrame, order: list[str], parts: int | None) -> DataFrame:
+    """``df`` range-partitioned by ``order``, with the partition's number."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settled(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+
+
+def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """Adds the 0-based global rank by ``order`` without one task that sees all rows: a range partitioning, ranks inside
-    partitions, and offsets from the partitions' counts."""
-    split = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
+    partitions, and offsets from the partitions' counts. Keep ``df`` narrow: it is shuffled and kept once."""
+    rows = _in_ranges(df, order, parts)
     sums = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    before = split.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(sums), F.lit(0)).alias("__before"))
+    before = rows.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(sums), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return split.withColumn("__inside", inside).join(F.broadcast(before), "__part").withColumn(name, F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before")
+    return rows.withColumn("__inside", inside).join(F.broadcast(before), "__part").withColumn(name, F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before")
+
 
+def ranked_in_groups(df: DataFrame, group: str, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
+    """Adds the 0-based rank inside each ``group`` of few groups with many rows: global ranks less the group's first."""
+    out = ranked(df, [group, *order], "__overall", parts)
+    sizes = out.groupBy(group).count()
+    first = sizes.select(F.col(group).alias("__group"), F.coalesce(F.sum("count").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))  # a row a group
+    joined = out.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn(name, F.col("__overall") - F.col("__first")).drop("__overall", "__group", "__first")
 
-def running_total(df: DataFrame, order: str, value: str, name: str, parts: int = 64) -> DataFrame:
+
+def running_total(df: DataFrame, order: str | list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all earlier rows, by two levels of prefix sums."""
-    split = df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()).persist()
+    order = [order] if isinstance(order, str) else order
+    rows = _in_ranges(df, order, parts)
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    before = split.groupBy("__part").agg(F.sum(value).alias("s")).select("__part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("__before"))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return split.withColumn("__inside", inside).join(F.broadcast(before), "__part").withColumn(name, F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before")
+    before = rows.groupBy("__part").agg(F.sum(value).alias("s")).select("__part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__inside", inside).join(F.broadcast(before), "__part").withColumn(name, F.col("__inside") + F.col("__before")).drop("__part", "__inside", "__before")
 
 
 def largest_remainder(counts: DataFrame) -> DataFrame:
@@ -49,42 +74,75 @@ def largest_remainder(counts: DataFrame) -> DataFrame:
     return exact.withColumn("place", F.row_number().over(order)).withColumn("left", left).select("band", "phase_index", (F.col("whole") + (F.col("place") <= F.col("left")).cast("long")).alias("n"))
 
 
-def phases(df: DataFrame, parts: int = 64) -> DataFrame:
-    """Adds ``phase_index``: documents of a band, ordered by hash bucket and then id, fill its phases' shares in turn."""
+def phases(df: DataFrame, order: str = "doc_id", salt: str = "loomery-order") -> DataFrame:
+    """(``order``, band, bucket, band_rank, phase_index) of documents with ``text`` and ``band``: those of a band, ordered
+    by hash bucket and then by ``order``, fill its phases' shares in turn. Buckets follow one another by the digest of
+    ``salt``, band and bucket, so the salt decides the curriculum. Texts stay where they are; join them back by id."""
     digest = F.sha2(F.col("text").cast("binary"), 256)
     bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(16))
-    placed = df.withColumn("bucket", bucket).withColumn("bucket_key", F.sha2(F.concat_ws(":", F.lit("loomery-order"), "band", F.col("bucket").cast("string")).cast("binary"), 256))
-    counts = placed.groupBy("band").count()
-    inside = ranked(placed, ["band", "bucket_key", "doc_id"], "overall", parts)
-    first = counts.withColumn("first", F.coalesce(F.sum("count").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a band
-    ends = largest_remainder(counts).withColumn("stop", F.sum("n").over(Window.partitionBy("band").orderBy("phase_index"))).withColumn("start", F.col("stop") - F.col("n"))
-    ranks = inside.join(F.broadcast(first.select("band", "first")), "band").withColumn("band_rank", F.col("overall") - F.col("first"))
-    out = ranks.join(F.broadcast(ends.select(F.col("band").alias("b"), "phase_index", "start", "stop")), (F.col("band") == F.col("b")) & (F.col("band_rank") >= F.col("start")) & (F.col("band_rank") < F.col("stop")))
-    return out.drop("b", "start", "stop", "first", "overall", "bucket_key")
+    narrow = df.select(order, "band", bucket.alias("bucket"))
+    key = F.sha2(F.concat_ws(":", F.lit(salt), "band", F.col("bucket").cast("string")).cast("binary"), 256)
+    ranks = ranked_in_groups(narrow.withColumn("bucket_key", key), "band", ["bucket_key", order], "band_rank").drop("bucket_key")
+    ends = largest_remainder(ranks.groupBy("band").count()).withColumn("stop", F.sum("n").over(Window.partitionBy("band").orderBy("phase_index"))).withColumn("start", F.col("stop") - F.col("n"))
+    limits = F.broadcast(ends.select(F.col("band").alias("b"), "phase_index", "start", "stop"))
+    out = ranks.join(limits, (F.col("band") == F.col("b")) & (F.col("band_rank") >= F.col("start")) & (F.col("band_rank") < F.col("stop")))
+    return out.drop("b", "start", "stop")
+
+
+#: Positions of a phase that one task deals out.
+BLOCK = 100_000
 
 
 def interleaved(counts: DataFrame) -> DataFrame:
     """(phase_index, position, band, k): at every position of a phase the band furthest behind its share is next, ties
-    to the earlier band. The recurrence sees counts only; its rows are positions, made phase by phase in a stream."""
+    to the earlier band; ``counts`` are (band, phase_index, n).
+
+    The recurrence never lets a band fall behind by more than the number of bands, so a block of positions is dealt out
+    by a task of its own once the counts at its beginning are known; those are found on the driver, which steps through
+    the recurrence by whole periods: if g divides all of a phase's counts, the first 1/g of its positions repeat.
+    """
+    from math import gcd
+
     order = list(SHARES)
+    table: dict[int, list[int]] = {}
+    for row in counts.collect():  # a row a band and phase
+        table.setdefault(row["phase_index"], [0] * len(order))[order.index(row["band"])] = row["n"]
+    spark, blocks = counts.sparkSession, []
+    for phase, target in sorted(table.items()):
+        total, periods = sum(target), gcd(*target)
+        if not total:
+            continue
+        period, sent = total // periods, [0] * len(order)
+        for start in range(0, period, BLOCK):
+            blocks.append((phase, start, min(period, start + BLOCK), total, periods, target, list(sent)))
+            if start + BLOCK < period:
+                sent = _dealt(target, total, start, start + BLOCK, sent)[1]
+    schema = "phase_index int, start long, stop long, total long, periods long, target array<long>, sent array<long>"
+    frame = spark.createDataFrame(blocks, schema).repartition(max(1, len(blocks)), "phase_index", "start")
 
     def deal(batches):
         import pandas as pd
 
         for batch in batches:
-            for phase, group in batch.groupby("phase_index"):
-                target = [int(group.loc[group.band == b, "n"].sum()) for b in order]
-                total, sent, rows = sum(target), [0] * len(order), []
-                for position in range(total):
-                    best = max(range(len(order)), key=lambda i: (target[i] * (position + 1) / total - sent[i] if sent[i] < target[i] else float("-inf"), -i))
-                    rows.append((phase, position, order[best], sent[best]))
-                    sent[best] += 1
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["phase_index", "position", "band", "k"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["phase_index", "position", "band", "k"])
-
-    return counts.repartition(len(PHASES), "phase_index").sortWithinPartitions("phase_index").coalesce(1).mapInPandas(deal, "phase_index int, position long, band string, k long")
+            for b in batch.itertuples():
+                chosen, _ = _dealt(list(b.target), b.total, b.start, b.stop, list(b.sent))
+                yield pd.DataFrame({"phase_index": b.phase_index, "place": range(b.start, b.stop), "band": [order[i] for i, _ in chosen], "n": [k for _, k in chosen], "total": b.total, "periods": b.periods, "whole": [b.target[i] for i, _ in chosen]})
+
+    first = frame.mapInPandas(deal, "phase_index int, place long, band string, n long, total long, periods long, whole long")
+    each = first.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("periods") - 1)))
+    place = F.col("place") + F.col("t") * F.expr("total div periods")
+    return each.select("phase_index", place.alias("position"), "band", (F.col("n") + F.col("t") * F.expr("whole div periods")).alias("k"))
+
+
+def _dealt(target: list[int], total: int, start: int, stop: int, sent: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """((band, how many of it before) at each position, how many of each band after them). Shares are compared as whole
+    numbers: target * (position + 1) - sent * total."""
+    sent, chosen, live = list(sent), [], range(len(target))
+    for position in range(start, stop):
+        best = max((i for i in live if sent[i] < target[i]), key=lambda i: (target[i] * (position + 1) - sent[i] * total, -i))
+        chosen.append((best, sent[best]))
+        sent[best] += 1
+    return chosen, sent
 
 
 def sequence_offsets(docs: DataFrame, length: int, order: str = "doc_id", tokens: str = "tokens") -> DataFrame:

@@ -71,22 +71,22 @@ def with_web_quality(df: DataFrame) -> DataFrame:
 def with_signals(df: DataFrame) -> DataFrame:
     """``df`` with document signals, quality reasons, difficulty and band."""
     text = F.col("text")
-    low = df.withColumn("__words", T.words(T.nfkc_casefold(text)))
+    low = df.withColumn("__words", T.words(T.nfkc_casefold(text))).withColumn("__line", F.array_join("__words", " "))
     w = F.col("__words")
     n = F.size(w)
     some = F.greatest(n, F.lit(1))
-    length_sum = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    syllables = F.aggregate(w, F.lit(0), lambda a, x: a + T.syllables(x))
+    line = F.col("__line")
+    length_sum = F.length(line) - F.greatest(n - 1, F.lit(0))
     filled = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    letters = T.matches(text, r"\p{L}")
+    letters = T.characters(text, r"\p{L}")
     base = low.withColumns({
         "words": n, "sentences": F.greatest(F.lit(1), T.matches(text, T.SENTENCE)), "unique_words": F.size(F.array_distinct(w)),
         "average_word_characters": F.when(n > 0, length_sum / n).otherwise(0.0),
-        "long_word_fraction": F.when(n > 0, F.size(F.filter(w, lambda x: F.length(x) >= 9)) / n).otherwise(0.0),
+        "long_word_fraction": F.when(n > 0, T.matches(line, r"(?<![^ ])[^ ]{9,}+") / n).otherwise(0.0),
         "symbol_fraction": T.share(text, r"[^\p{L}\p{N}\s]"), "digit_fraction": T.share(text, r"\p{Nd}"),
         "code_line_fraction": F.when(F.size(filled) > 0, F.size(F.filter(filled, lambda x: x.rlike(T.CODE_LINE))) / F.size(filled)).otherwise(0.0),
         "reasoning_density": T.matches(text, T.REASONING) / some, "technical_density": T.matches(text, T.TECHNICAL) / some,
-        "syllables": syllables, "letters": letters, "latin_fraction": F.when(letters > 0, T.matches(text, r"[\p{L}&&\p{IsLatin}]") / letters).otherwise(0.0),
+        "syllables": T.syllables_of(line), "letters": letters, "latin_fraction": F.when(letters > 0, T.characters(text, r"[\p{L}&&\p{IsLatin}]") / letters).otherwise(0.0),
         "longest_run": T.longest_run(text), "url_density": T.matches(text, T.URL) / some,
     })
     c = F.col
@@ -108,7 +108,7 @@ def with_signals(df: DataFrame) -> DataFrame:
         + 0.04 * T.clamped(F.log10(F.greatest(F.length(text), F.lit(400))), 2.6, 5.0)
     )
     done = derived.withColumns({"quality_reasons": reasons, "difficulty": F.least(F.lit(1.0), F.greatest(F.lit(0.0), difficulty)), "reading_ease": 206.835 - 1.015 * c("average_sentence_words") - 84.6 * c("syllables") / some_words})
-    return done.withColumn("band", band(c("difficulty"))).drop("__words")
+    return done.withColumn("band", band(c("difficulty"))).drop("__words", "__line")
 
 
 def band(difficulty: Column) -> Column:

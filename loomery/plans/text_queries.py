@@ -56,6 +56,14 @@ def _safety(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", *(c.alias(k) for k, c in Q.safety(F.col("text")).items()))
 
 
+#: Phrases that are put into some texts, since the tables hold none.
+PHRASES = ["See the ANSWER KEY.", "a Casino night", "we write my paper", "click here now", "none of these"]
+
+
+def risky(s, d):
+    return docs(s, d).withColumn("text", F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % 5 + 1).cast("int"))))
+
+
 QUERIES = {
     "decontaminate_accepted": lambda s, d: decontaminated(s, d).filter("accepted").select("doc_id", "source", "lang"),
     "decontaminate_summary": lambda s, d: decontaminated(s, d).agg(F.count("*").alias("scanned"), F.count_if("accepted").alias("accepted"), F.count_if("duplicate").alias("duplicates"), F.count_if((F.col("hits") > 0) | (F.col("code_hits") > 0)).alias("contaminated")),
@@ -76,7 +84,7 @@ QUERIES = {
     "difficulty_band_counts": lambda s, d: signals(s, d).filter(F.size("quality_reasons") == 0).groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("difficulty"), 9).alias("mean")),
     "document_signals": lambda s, d: signals(s, d).select("doc_id", "words", "unique_words", "sentences", *(F.round(c, 9).alias(c) for c in ("average_word_characters", "long_word_fraction", "symbol_fraction", "digit_fraction", "difficulty")), "band"),
     "math_signal_classes": lambda s, d: docs(s, d).select("doc_id", Q.classes(F.col("text"), Q.MATH).alias("math"), Q.classes(F.col("text"), Q.EXPLANATION).alias("explanation")),
-    "risk_signal_counts": lambda s, d: docs(s, d).select(F.explode(Q.risk_reasons(F.col("text"))).alias("risk")).groupBy("risk").agg(F.count("*").alias("n")),
+    "risk_signal_counts": lambda s, d: risky(s, d).select("lang", F.explode(Q.risk_reasons(F.col("text"))).alias("risk")).groupBy("lang", "risk").agg(F.count("*").alias("n")),
     "safety_scan_counts": lambda s, d: _safety(s, d).select(Q.decision(F.col("reject"), F.col("review")).alias("decision")).groupBy("decision").agg(F.count("*").alias("n")),
     "safety_signals": lambda s, d: _safety(s, d).select("doc_id", "repeated_ppm", "longest_line"),
     "email_candidates": lambda s, d: _safety(s, d).filter("emails > 0").select("doc_id"),
@@ -100,6 +108,49 @@ SYL = "greatest(1, len(regexp_extract_all(x, '[aeiouy]+')))"
 SIGNALS = f"""s0 AS (SELECT doc_id, text, w, len(w) AS words, greatest(1, {_count('[.!?]+(?:' + chr(92) + 's+|$)')}) AS sentences, len(list_distinct(w)) AS unique_words,
   coalesce(list_sum(list_transform(w, lambda x: {SYL} - CASE WHEN length(x) > 3 AND ends_with(x, 'e') AND {SYL} > 1 THEN 1 ELSE 0 END)), 0)::bigint AS syllables FROM {W})"""
 
+def _n(pattern):
+    """DuckDB expression: how often ``pattern`` matches the text."""
+    return "len(regexp_extract_all(text, '" + pattern.replace("'", "''") + "'))"
+
+
+def _clamped(value, low, high):
+    return f"greatest(0.0, least(1.0, ({value} - {low}) / ({high} - {low})))"
+
+
+RUNS = "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM documents), g AS (SELECT doc_id, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS grp FROM c WHERE ch <> chr(10)), r AS (SELECT doc_id, count(*) AS run FROM g GROUP BY doc_id, ch, grp) SELECT doc_id, max(run) AS run FROM r GROUP BY doc_id"
+CODE_LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')"
+SCORED = f"""{SIGNALS}, runs AS ({RUNS}),
+s1 AS (SELECT s0.*, greatest(words, 1) AS filled_words, coalesce(run, 1) AS run, {_n(chr(92) + "p{L}")} AS letters, {_n(chr(92) + "p{Latin}")} AS latin, {_n(T.URL)} AS urls,
+  CASE WHEN words > 0 THEN list_sum(list_transform(w, lambda x: length(x)))::double / words ELSE 0 END AS average_word_characters,
+  CASE WHEN words > 0 THEN len(list_filter(w, lambda x: length(x) >= 9))::double / words ELSE 0 END AS long_word_fraction,
+  CASE WHEN length(text) > 0 THEN {_n("[^" + chr(92) + "p{L}" + chr(92) + "p{N}" + chr(92) + "s]")}::double / length(text) ELSE 0 END AS symbol_fraction,
+  CASE WHEN length(text) > 0 THEN {_n(chr(92) + "p{Nd}")}::double / length(text) ELSE 0 END AS digit_fraction,
+  CASE WHEN len({CODE_LINES}) > 0 THEN len(list_filter({CODE_LINES}, lambda x: regexp_matches(x, '{T.CODE_LINE}')))::double / len({CODE_LINES}) ELSE 0 END AS code,
+  {_n(T.REASONING)} AS reasoning, {_n(T.TECHNICAL)} AS technical FROM s0 LEFT JOIN runs ON s0.doc_id = runs.doc_id),
+s2 AS (SELECT *, list_filter([CASE WHEN run > 40 THEN 'character_run_high' END, CASE WHEN letters >= 100 AND latin::double / letters < 0.80 THEN 'latin_coverage_low' END,
+    CASE WHEN unique_words::double / filled_words < 0.10 THEN 'lexical_repetition_high' END, CASE WHEN words < 80 THEN 'too_few_words' END, CASE WHEN urls::double / filled_words > 0.02 THEN 'url_density_high' END], lambda x: x IS NOT NULL) AS reasons,
+  least(1.0, greatest(0.0, 0.21 * {_clamped("words::double / sentences", 8.0, 32.0)} + 0.15 * {_clamped("average_word_characters", 4.0, 7.0)} + 0.13 * {_clamped("long_word_fraction", 0.04, 0.28)}
+    + 0.08 * {_clamped("unique_words / sqrt(filled_words)", 4.0, 16.0)} + 0.08 * {_clamped("symbol_fraction", 0.015, 0.16)} + 0.07 * {_clamped("digit_fraction", 0.005, 0.12)}
+    + 0.09 * {_clamped("code", 0.0, 0.35)} + 0.08 * {_clamped("reasoning::double / filled_words", 0.0, 0.025)} + 0.07 * {_clamped("technical::double / filled_words", 0.0, 0.035)}
+    + 0.04 * {_clamped("log10(greatest(length(text), 400))", 2.6, 5.0)})) AS difficulty FROM s1),
+s3 AS (SELECT *, CASE WHEN difficulty < 0.13 THEN 'foundation' WHEN difficulty < 0.22 THEN 'composition' WHEN difficulty < 0.42 THEN 'reasoning' ELSE 'specialization' END AS band FROM s2)"""
+_KEY = Q.CREDENTIAL.split("(['", 1)[0]
+#: RE2 has no back-references: the two quotes apart.
+QUOTED = [(_KEY + q + "([^'\"\r\n]{12,})" + q).replace("'", "''") for q in ("'", '"')]
+CREDENTIALS = "len(list_filter(list_concat(" + ", ".join(f"regexp_extract_all(text, '{x}', 1)" for x in QUOTED) + f"), lambda x: NOT regexp_matches(x, '{Q.PLACEHOLDER}')))"
+SIMPLE = "regexp_extract_all({n}, '[" + chr(92) + "p{{L}}" + chr(92) + "p{{N}}_]+')"
+GRAMS = "CASE WHEN len({w}) >= 13 THEN list_transform(range(1, len({w}) - 11), lambda i: array_to_string({w}[i:i + 12], ' ')) WHEN len({w}) > 0 THEN [array_to_string({w}, ' ')] ELSE [] END"
+SCAN = f"""t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_+/=-]{{32,}}')) AS token FROM documents),
+ch AS (SELECT doc_id, token, unnest(string_split(token, '')) AS c FROM t WHERE NOT regexp_matches(token, '{Q.PLACEHOLDER}')),
+en AS (SELECT doc_id, token, -sum(p * log2(p)) AS bits FROM (SELECT doc_id, token, count(*)::double / length(token) AS p FROM ch GROUP BY doc_id, token, c) GROUP BY ALL),
+hi AS (SELECT doc_id, count(*) AS tokens FROM en WHERE round(bits * 1000) >= 4000 GROUP BY doc_id),
+sc AS (SELECT doc_id, text, {" OR ".join("regexp_matches(text, '" + x + "')" for x in Q.SECRETS.values())} AS secret,
+  {CREDENTIALS} > 0 AS credential,
+  regexp_matches(text, '{Q.CONTROL}') AS control, regexp_matches(text, '{Q.JWT}') AS jwt, {" OR ".join(f"contains(lower(text), '{x}')" for x in Q.GENERATED)} AS generated,
+  list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 2000 AS long_line, len({FILLED}) > 0 AND (len({FILLED}) - len(list_distinct({FILLED}))) * 1000000 // len({FILLED}) > 500000 AS repeated FROM documents)"""
+
+EMAILS = r"SELECT doc_id FROM documents WHERE len(list_filter(regexp_extract_all(text, '(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})(?:$|[^A-Za-z0-9.-])', 1), lambda x: lower(regexp_extract(x, '@([^@]*)$', 1)) NOT IN ('example.com', 'example.net', 'example.org', 'localhost', 'users.noreply.github.com'))) > 0"
+
 ORACLES = {
     "decontaminate_accepted": DECONTAMINATED + "SELECT doc_id, source, lang FROM flagged WHERE NOT duplicate AND hits = 0 AND code_hits = 0",
     "decontaminate_summary": DECONTAMINATED + "SELECT count(*) AS scanned, count_if(NOT duplicate AND hits = 0 AND code_hits = 0) AS accepted, count_if(duplicate) AS duplicates, count_if(hits > 0 OR code_hits > 0) AS contaminated FROM flagged",
@@ -115,13 +166,23 @@ ORACLES = {
     "web_quality_accept": f"WITH {QUALITY} SELECT lang, count(*) AS n, count_if(accepted) AS accepted FROM qa GROUP BY lang",
     "reading_ease": f"WITH {SIGNALS} SELECT doc_id, words, sentences, syllables, round(206.835 - 1.015 * (words / sentences) - 84.6 * syllables / greatest(words, 1), 6) AS reading_ease FROM s0",
     "math_signal_classes": "SELECT doc_id, " + " + ".join("regexp_matches(text, '" + p.replace("'", "''") + "')::int" for p in Q.MATH) + " AS math, " + " + ".join("regexp_matches(text, '" + p.replace("'", "''") + "')::int" for p in Q.EXPLANATION) + " AS explanation FROM documents",
-    "risk_signal_counts": "SELECT risk, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS risk FROM documents WHERE regexp_matches(text, '{p}')" for k, p in Q.RISKS.items()) + ") GROUP BY risk",
+    "risk_signal_counts": f"WITH t AS (SELECT lang, text || ' ' || {PHRASES}[doc_id % 5 + 1] AS text FROM documents) SELECT lang, risk, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT lang, '{k}' AS risk FROM t WHERE regexp_matches(text, '{p}')" for k, p in Q.RISKS.items()) + ") GROUP BY ALL",
     "safety_signals": f"SELECT doc_id, (CASE WHEN len({FILLED}) > 0 THEN (len({FILLED}) - len(list_distinct({FILLED}))) * 1000000 // len({FILLED}) ELSE 0 END)::bigint AS repeated_ppm, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS longest_line FROM documents",
-    "email_candidates": r"SELECT doc_id FROM documents WHERE len(list_filter(regexp_extract_all(text, '(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})(?:$|[^A-Za-z0-9.-])', 1), lambda x: lower(regexp_extract(x, '@([^@]*)$', 1)) NOT IN ('example.com', 'example.net', 'example.org', 'localhost', 'users.noreply.github.com'))) > 0",
+    "email_candidates": EMAILS,
     "url_host_top25": "SELECT regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') AS host, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1 ORDER BY n DESC, first LIMIT 25",
     "url_host_denied": "WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') AS host FROM pages) SELECT page_id, (" + " OR ".join(f"host = '{x}' OR ends_with(host, '.{x}')" for x in Q.DENIED_HOSTS) + ") AS denied FROM h",
     "shingle_counts": f"SELECT doc_id, CASE WHEN len(w) >= 5 THEN len({_grams('w', 5)}) ELSE 0 END AS n FROM {W}",
     "text_digests": "SELECT doc_id, sha256(text) AS sha, sha256('salt'::blob || unhex(sha256(text))) AS rank FROM documents",
     "source_digest": "SELECT lang, doc_id % 16 AS part, sha256(unhex(string_agg(sha256(text), '' ORDER BY doc_id))) AS digest, count(*) AS n FROM documents GROUP BY lang, doc_id % 16",
-    "longest_char_run": "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM documents), g AS (SELECT doc_id, ch, i - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS grp FROM c WHERE ch <> chr(10)), r AS (SELECT doc_id, count(*) AS run FROM g GROUP BY doc_id, ch, grp) SELECT doc_id, max(run) AS run FROM r GROUP BY doc_id",
+    "longest_char_run": RUNS,
+    "document_signals": f"WITH {SCORED} SELECT doc_id, words, unique_words, sentences, round(average_word_characters, 9) AS average_word_characters, round(long_word_fraction, 9) AS long_word_fraction, round(symbol_fraction, 9) AS symbol_fraction, round(digit_fraction, 9) AS digit_fraction, round(difficulty, 9) AS difficulty, band FROM s3",
+    "quality_reasons_histogram": f"WITH {SCORED} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM s3) GROUP BY reason",
+    "difficulty_band_counts": f"WITH {SCORED} SELECT band, count(*) AS n, round(avg(difficulty), 9) AS mean FROM s3 WHERE len(reasons) = 0 GROUP BY band",
+    "git_blob_ids": "SELECT doc_id, sha1(('blob ' || octet_length(encode(text)))::blob || '\\x00'::blob || encode(text)) AS blob FROM documents",
+    "overlap_kind_exact_or_ngram": f"""WITH {NORMALISED}, m AS (SELECT doc_id, norm, {SIMPLE.format(n="norm")} AS w FROM n), bb AS (SELECT {NORM} AS norm, {SIMPLE.format(n=NORM)} AS w FROM benchmark),
+x AS (SELECT DISTINCT unnest({GRAMS.format(w="w")}) AS g FROM bb), h AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({GRAMS.format(w="w")}) AS g FROM m) JOIN x USING (g))
+SELECT m.doc_id, CASE WHEN norm IN (SELECT norm FROM bb) THEN 'exact' WHEN h.doc_id IS NOT NULL THEN 'ngram' END AS kind FROM m LEFT JOIN h USING (doc_id)""",
+    "safety_scan_counts": f"""WITH {SCAN}, mail AS ({EMAILS})
+SELECT CASE WHEN secret OR credential OR control THEN 'rejected' WHEN mail.doc_id IS NOT NULL OR jwt OR hi.tokens > 0 OR long_line OR repeated OR generated THEN 'review' ELSE 'clean' END AS decision, count(*) AS n
+FROM sc LEFT JOIN mail USING (doc_id) LEFT JOIN hi USING (doc_id) GROUP BY 1""",
 }
