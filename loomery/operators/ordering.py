@@ -89,6 +89,14 @@ def phases(df: DataFrame, order: str = "doc_id", salt: str = "loomery-order") ->
     return out.drop("b", "start", "stop")
 
 
+def curriculum(df: DataFrame, order: str = "doc_id", salt: str = "loomery-order") -> DataFrame:
+    """(``order``, band, phase_index, position): where each document with ``text`` and ``band`` stands in its phase."""
+    placed = settled(phases(df, order, salt))
+    counts = placed.groupBy("band", "phase_index").agg(F.count("*").alias("n"), F.min("band_rank").alias("start"))
+    inside = placed.join(F.broadcast(counts.select("band", "phase_index", "start")), ["band", "phase_index"]).withColumn("k", F.col("band_rank") - F.col("start"))
+    return inside.join(interleaved(counts), ["band", "phase_index", "k"]).select(order, "band", "phase_index", "position")
+
+
 #: Positions of a phase that one task deals out.
 BLOCK = 100_000
 

@@ -81,6 +81,11 @@ ex AS (SELECT band, phase_index, n, n * share::double AS x, floor(n * share::dou
 rx AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY x - w DESC, phase_index) AS place, n - sum(w) OVER (PARTITION BY band) AS lft FROM ex),
 al AS (SELECT band, phase_index, (w + (place <= lft)::int)::bigint AS n FROM rx)"""
 
+DEALT = f"""ta AS (SELECT phase_index, sum(n)::bigint AS total, [{", ".join(f"coalesce(sum(n) FILTER (WHERE band = '{b}'), 0)::bigint" for b in O.SHARES)}] AS t FROM al GROUP BY phase_index),
+r AS (SELECT phase_index, t, total, [0, 0, 0, 0]::bigint[] AS s, -1 AS position, 0 AS best FROM ta
+  UNION ALL SELECT phase_index, t, total, [s[1] + (b = 1)::bigint, s[2] + (b = 2)::bigint, s[3] + (b = 3)::bigint, s[4] + (b = 4)::bigint], position + 1, b
+  FROM (SELECT *, list_position(l, list_max(l)) AS b FROM (SELECT *, [{", ".join(f"CASE WHEN s[{i}] < t[{i}] THEN t[{i}] * (position + 2) - s[{i}] * total ELSE -1000000000000 END" for i in (1, 2, 3, 4))}] AS l FROM r WHERE position + 1 < total)))"""
+
 ORACLES = {
     "hash_rank_topk": f"WITH {HASHED} SELECT doc_id, rank FROM h ORDER BY rank, doc_id DESC LIMIT 64",
     "hash_topk_per_stratum": f"WITH {HASHED}, r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY rank, doc_id) AS place FROM h) SELECT * FROM r WHERE place <= 16",
@@ -96,10 +101,7 @@ SELECT band, phase_index, (w + (place <= lft)::int)::bigint AS n FROM r""",
 rk AS (SELECT doc_id, band, row_number() OVER (PARTITION BY band ORDER BY sha256('loomery-order:' || band || ':' || bucket), doc_id) - 1 AS r FROM bk),
 li AS (SELECT band, phase_index, n, sum(n) OVER (PARTITION BY band ORDER BY phase_index) AS stop FROM al)
 SELECT rk.band, phase_index, count(*) AS n, sum(doc_id)::bigint AS ids FROM rk JOIN li ON rk.band = li.band AND r >= stop - n AND r < stop GROUP BY ALL""",
-    "deficit_interleave": f"""WITH RECURSIVE {BANDED}, ta AS (SELECT phase_index, sum(n)::bigint AS total, [{", ".join(f"coalesce(sum(n) FILTER (WHERE band = '{b}'), 0)::bigint" for b in O.SHARES)}] AS t FROM al GROUP BY phase_index),
-r AS (SELECT phase_index, t, total, [0, 0, 0, 0]::bigint[] AS s, -1 AS position, 0 AS best FROM ta
-  UNION ALL SELECT phase_index, t, total, [s[1] + (b = 1)::bigint, s[2] + (b = 2)::bigint, s[3] + (b = 3)::bigint, s[4] + (b = 4)::bigint], position + 1, b
-  FROM (SELECT *, list_position(l, list_max(l)) AS b FROM (SELECT *, [{", ".join(f"CASE WHEN s[{i}] < t[{i}] THEN t[{i}] * (position + 2) - s[{i}] * total ELSE -1000000000000 END" for i in (1, 2, 3, 4))}] AS l FROM r WHERE position + 1 < total)))
+    "deficit_interleave": f"""WITH RECURSIVE {BANDED}, {DEALT}
 SELECT phase_index, position, {list(O.SHARES)}[best] AS band, s[best] - 1 AS k FROM r WHERE position >= 0""",
     "learnability_bands": f"WITH {LEARN}, r AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY strong, weak - strong DESC, weak, rec) AS r FROM l) SELECT phase, (r - 1) // 100 AS band, count(*) AS n, min(strong) AS low, max(strong) AS high FROM r GROUP BY 1, 2",
     "ntile_phase_bands": f"WITH {LEARN}, r AS (SELECT *, ntile(4) OVER (PARTITION BY phase ORDER BY strong, rec) AS band FROM l) SELECT phase, band, count(*) AS n, sum(strong)::bigint AS strong FROM r GROUP BY 1, 2",
