@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomery.plans import contract_queries, decision_queries, near_queries, order_queries, parsing_queries, review_queries, stream_queries, table_queries, text_queries
+from loomery.plans import contract_queries, decision_queries, file_queries, flow_queries, near_queries, order_queries, parsing_queries, review_queries, stream_queries, table_queries, text_queries
 
-PARTS = (text_queries, order_queries, table_queries, contract_queries, near_queries, stream_queries, decision_queries, review_queries, parsing_queries)
+PARTS = (text_queries, order_queries, table_queries, contract_queries, near_queries, stream_queries, decision_queries, review_queries, parsing_queries, flow_queries, file_queries)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomery.operators import evaluation as E
 from loomery.operators import metadata as M
 from loomery.operators import ordering as O
+from loomery.operators import quality as Q
 from loomery.sources.tables import table
 from loomery.streaming import events as S
 
@@ -61,7 +62,25 @@ def running(s, d):
     return M.prior_counts(e.select("event_id", "event_type", "user_id"), "user_id", "event_id")
 
 
+def running_stream(s, d):
+    counts = S.finished(S.running_counts(S.stream(s, f"{d}/events.parquet")), "append")
+    return counts.groupBy("event_type").agg(F.sum("prior").alias("prior"), F.max("prior").alias("most"))
+
+
+def resumed_batches(s, d):
+    """Records taken by a cursor in batches, each once."""
+    records, cursor, out = table(s, d, "documents").select(F.col("doc_id").alias("sequence"), "n_chars"), 0, None
+    for turn in range(3):
+        batch, cursor = S.resumed(records, cursor, 70)
+        part = batch.groupBy().agg(F.lit(turn).alias("turn"), F.count("*").alias("n"), F.sum("n_chars").alias("characters"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = {
+    "running_progression_stream": running_stream,
+    "resumable_cursor": resumed_batches,
+    "shannon_entropy_tokens": lambda s, d: table(s, d, "documents").select("doc_id", F.substring(F.md5("text"), 1, 32).alias("token")).select("doc_id", Q.entropy_milli(F.col("token")).alias("milli")),
     "metadata_policy_counts": lambda s, d: with_policy(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted"), F.sum("size").alias("bytes")),
     "license_explode_counts": lambda s, d: code_rows(s, d).select(F.explode("licenses").alias("license")).groupBy("license").agg(F.count("*").alias("n")),
     "duplicate_group_stats": lambda s, d: M.duplicate_stats(code_rows(s, d), "blob"),
@@ -112,6 +131,9 @@ EDGES = "e(a, b) AS (VALUES ('view', 'click'), ('click', 'cart'), ('cart', 'purc
 REV = "round(sum(l_extendedprice * (1 - l_discount)), 4)"
 
 ORACLES = {
+    "running_progression_stream": "WITH r AS (SELECT event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS prior FROM events) SELECT event_type, sum(prior)::bigint AS prior, max(prior) AS most FROM r GROUP BY event_type",
+    "resumable_cursor": "SELECT (doc_id // 70)::int AS turn, count(*) AS n, sum(n_chars)::bigint AS characters FROM documents WHERE doc_id < 210 GROUP BY 1",
+    "shannon_entropy_tokens": "WITH c AS (SELECT doc_id, unnest(string_split(md5(text), '')) AS c FROM documents), p AS (SELECT doc_id, count(*)::double / 32 AS p FROM c GROUP BY doc_id, c) SELECT doc_id, round_even(-sum(p * log2(p)) * 1000, 0)::int AS milli FROM p GROUP BY doc_id",
     "metadata_policy_counts": f"WITH {CODE} SELECT kind, count(*) AS n, count_if(accepted) AS accepted, sum(size)::bigint AS bytes FROM a GROUP BY kind",
     "license_explode_counts": f"WITH {CODE} SELECT license, count(*) AS n FROM (SELECT unnest(licenses) AS license FROM c) GROUP BY 1",
     "duplicate_group_stats": f"WITH {CODE}, g AS (SELECT count(*) AS n FROM c GROUP BY blob) SELECT sum(n)::bigint AS rows, count(*) AS keys, sum(n - 1)::bigint AS repeats, count_if(n > 1) AS groups FROM g",

@@ -1,4 +1,7 @@
-"""Streaming twins of stateful operators: deduplication, windows and sessions. Running counts have none."""
+"""Streaming twins of stateful operators: deduplication, windows, sessions and running counts.
+
+A finished stream leaves its result and its checkpoint in a folder that all executors share, never on the driver.
+"""
 
 from __future__ import annotations
 
@@ -16,12 +19,46 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
 
 
+def folder_of(spark: SparkSession) -> str:
+    """A new folder below the session's spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def finished(out: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a bounded stream to its end and returns its result table."""
-    name = "loomery_" + uuid.uuid4().hex
-    query = out.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return out.sparkSession.table(name)
+    """Runs a bounded stream to its end and returns its result: of the last batch in ``complete`` mode, else of all. A
+    batch that is done again replaces what it had written."""
+    spark, folder, seen = out.sparkSession, folder_of(out.sparkSession), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/{number}")
+        seen.append(number)
+
+    out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not seen:
+        return spark.createDataFrame([], out.schema)
+    numbers = [max(seen)] if mode == "complete" else sorted(set(seen))
+    return spark.read.schema(out.schema).parquet(*(f"{folder}/batches/{n}" for n in numbers))
+
+
+def running_counts(events: DataFrame, key: str = "user_id", order: str = "event_id") -> DataFrame:
+    """(key, order, event_type, prior): how many events of its key came before each. The state is one number a key; what
+    is handed to Python at once is one key's part of a micro-batch."""
+    import pandas as pd
+
+    schema = events.select(key, order, "event_type").schema
+
+    def counted(keys, parts, state):
+        before = state.get[0] if state.exists else 0
+        for rows in parts:
+            rows = rows[[key, order, "event_type"]].sort_values(order).reset_index(drop=True)
+            rows["prior"] = before + pd.RangeIndex(len(rows)).to_numpy()
+            before += len(rows)
+            yield rows
+        state.update((before,))
+
+    whole = f"{schema.simpleString()[7:-1]},prior:bigint".replace(":", " ")
+    return events.select(key, order, "event_type").groupBy(key).applyInPandasWithState(counted, whole, "n long", "append", "NoTimeout")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -39,6 +76,13 @@ def deduplicated(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["user_id", "event_type"]).groupBy("event_type").agg(F.count("*").alias("users"))
 
 
-def for_each_batch(events: DataFrame, sink: Callable[[DataFrame, int], None]) -> None:
-    """Hands every micro-batch to ``sink``; a checkpoint makes each batch count once."""
-    events.writeStream.foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+def for_each_batch(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hands every micro-batch to ``sink``. What is done is kept in ``checkpoint``: a restart goes on after it, and hands
+    a batch that was under way over again under its number."""
+    events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def resumed(records: DataFrame, cursor: int, size: int) -> tuple[DataFrame, int]:
+    """(the next ``size`` records by dense ``sequence`` from ``cursor`` on, the cursor after them): a filter, so any batch
+    can be made again."""
+    return records.filter((F.col("sequence") >= cursor) & (F.col("sequence") < cursor + size)), cursor + size
