@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomery.operators.decisions import resampled
+
 #: Fixed value: the normal quantile of a two-sided 95 % interval.
 NORMAL = 1.959963984540054
 
@@ -27,14 +29,5 @@ def interval(pairs: DataFrame) -> DataFrame:
 
 
 def bootstrap(pairs: DataFrame, key: str, stratum: str, replicates: int = 200) -> DataFrame:
-    """(replicate, mean): resampled means within strata. Draws are hashes of (replicate, stratum, slot), so the result
-    depends on nothing else; a draw's multiplicity reaches rows by a join on (stratum, position)."""
-    from pyspark.sql import Window
-
-    placed = pairs.withColumn("slot", F.row_number().over(Window.partitionBy(stratum).orderBy(key)) - 1)
-    sizes = placed.groupBy(stratum).agg(F.count("*").alias("size"))
-    slots = placed.select(stratum, "slot").join(F.broadcast(sizes), stratum)
-    digest = F.sha2(F.concat_ws(":", F.col("replicate").cast("string"), F.col(stratum), F.col("slot").cast("string")).cast("binary"), 256)
-    draws = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("slot", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("size")))
-    counted = draws.groupBy("replicate", stratum, "slot").agg(F.count("*").alias("times"))
-    return counted.join(placed.select(stratum, "slot", "delta"), [stratum, "slot"]).groupBy("replicate").agg((F.sum(F.col("delta") * F.col("times")) / F.sum("times")).alias("mean"))
+    """(replicate, mean): resampled means within strata, drawn by hashes of (replicate, stratum, slot)."""
+    return resampled(pairs.select(key, stratum, "delta"), stratum, key, replicates).groupBy("replicate").agg(F.avg("delta").alias("mean"))

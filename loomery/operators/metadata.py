@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.operators.ordering import settled
+
 # Licences that the policy accepts.
 LICENSES = ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "ISC", "MIT", "Unlicense", "Zlib"]
 
@@ -31,11 +33,11 @@ def align(candidates: DataFrame, current: DataFrame, keys: list[str], order: str
 
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """(a, b): b is reachable from a. Paths double in every round, so rounds grow with the logarithm of the longest."""
-    paths = edges.select("a", "b").distinct()
+    paths = settled(edges.select("a", "b").distinct())
     count = paths.count()
     for _ in range(rounds):
         longer = paths.alias("x").join(paths.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        paths = paths.unionByName(longer).distinct()
+        paths = settled(paths.unionByName(longer).distinct())
         now = paths.count()
         if now == count:
             return paths

@@ -54,6 +54,13 @@ def ranked_in_groups(df: DataFrame, group: str, order: list[str], name: str = "r
     return joined.withColumn(name, F.col("__overall") - F.col("__first")).drop("__overall", "__group", "__first")
 
 
+def ntile_of(rank: Column, size: Column, parts: int) -> Column:
+    """The part, from 1, of a 0-based rank among ``size`` rows: equal parts, the first ones taking what is left over."""
+    whole, rest = F.floor(size / parts), size % parts
+    first = rest * (whole + 1)
+    return (F.when(rank < first, F.floor(rank / (whole + 1))).otherwise(rest + F.floor((rank - first) / F.greatest(whole, F.lit(1)))) + 1).cast("int")
+
+
 def running_total(df: DataFrame, order: str | list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` over all earlier rows, by two levels of prefix sums."""
     order = [order] if isinstance(order, str) else order

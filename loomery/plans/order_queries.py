@@ -37,6 +37,18 @@ def learnable(spark, sf_dir):
     return d.select("doc_id", (100000 + F.col("n_chars")).alias("strong"), (100000 + F.col("n_chars") + F.col("doc_id") % 997).alias("weak"), H.sha(F.col("doc_id").cast("string")).alias("rec"), (F.col("doc_id") % 4).alias("phase"))
 
 
+def by_strength(spark, sf_dir):
+    """Records of a phase by strong loss, falling difference, weak loss and digest, with their rank ``r``."""
+    rows = learnable(spark, sf_dir).withColumn("less", F.col("strong") - F.col("weak"))
+    return O.ranked_in_groups(rows, "phase", ["strong", "less", "weak", "rec"], "r")
+
+
+def quarters(spark, sf_dir):
+    rows = O.ranked_in_groups(learnable(spark, sf_dir), "phase", ["strong", "rec"], "r")
+    sizes = rows.groupBy("phase").agg(F.count("*").alias("size"))  # a row a phase
+    return rows.join(F.broadcast(sizes), "phase").withColumn("band", O.ntile_of(F.col("r"), F.col("size"), 4))
+
+
 def permuted(spark, sf_dir):
     return O.ranked(docs(spark, sf_dir).select("doc_id", H.sha(F.concat(F.lit("seed:"), F.col("doc_id").cast("string"))).alias("key")), ["key"], "position")
 
@@ -56,14 +68,13 @@ QUERIES = {
     "largest_remainder_alloc": lambda s, d: O.largest_remainder(docs(s, d).groupBy(F.when(F.col("lang") == "en", "foundation").when(F.col("lang") == "fr", "composition").when(F.col("lang") == "de", "reasoning").otherwise("specialization").alias("band")).count()).select("band", "phase_index", "n"),
     "phase_assignment": lambda s, d: O.phases(banded(s, d)).groupBy("band", "phase_index").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids")),
     "deficit_interleave": interleave,
-    "learnability_bands": lambda s, d: learnable(s, d).withColumn("r", F.row_number().over(Window.partitionBy("phase").orderBy("strong", F.desc(F.col("weak") - F.col("strong")), "weak", "rec"))).groupBy("phase", F.floor((F.col("r") - 1) / 100).cast("long").alias("band")).agg(F.count("*").alias("n"), F.min("strong").alias("low"), F.max("strong").alias("high")),
-    "ntile_phase_bands": lambda s, d: learnable(s, d).withColumn("band", F.ntile(4).over(Window.partitionBy("phase").orderBy("strong", "rec"))).groupBy("phase", "band").agg(F.count("*").alias("n"), F.sum("strong").alias("strong")),
+    "learnability_bands": lambda s, d: by_strength(s, d).groupBy("phase", F.floor(F.col("r") / 100).cast("long").alias("band")).agg(F.count("*").alias("n"), F.min("strong").alias("low"), F.max("strong").alias("high")),
+    "ntile_phase_bands": lambda s, d: quarters(s, d).groupBy("phase", "band").agg(F.count("*").alias("n"), F.sum("strong").alias("strong")),
     "score_summary": lambda s, d: learnable(s, d).groupBy("phase").agg(F.min(F.col("weak") - F.col("strong")).alias("low"), F.max(F.col("weak") - F.col("strong")).alias("high"), F.floor(F.sum(F.col("weak") - F.col("strong")) / F.count("*")).alias("mean")),
     "pack_sequence_ids": lambda s, d: packed(s, d).select("doc_id", "offset", "first_sequence", "last_sequence"),
     "prefix_ledger": lambda s, d: packed(s, d).groupBy("first_sequence").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens")),
     "segment_boundaries": lambda s, d: packed(s, d).select(F.explode(F.sequence("first_sequence", "last_sequence")).alias("sequence")).groupBy("sequence").agg(F.count("*").alias("segments")),
     "loss_mask_counts": lambda s, d: packed(s, d).agg(F.sum(F.col("tokens") + 1).alias("positions"), F.sum("tokens").alias("targets"), F.max("last_sequence").alias("last")),
-    "phase_budget_pack": lambda s, d: packed(s, d).withColumn("phase", F.floor(F.col("first_sequence") / 50)).groupBy("phase").agg(F.count("*").alias("documents"), F.count_if(F.floor(F.col("last_sequence") / 50) > F.col("phase")).alias("cut")),
     "sorted_multiset_digest": lambda s, d: hashed(s, d).groupBy(F.substring("sha", 1, 2).alias("part")).agg(F.sha2(F.unhex(F.array_join(F.sort_array(F.collect_list("sha")), "")), 256).alias("digest")),
     "xor_fingerprint": lambda s, d: hashed(s, d).agg(F.count("*").alias("n"), *(F.bit_xor(F.conv(F.substring("sha", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"x{i}") for i in range(8)), *(F.sum(F.conv(F.substring("sha", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"s{i}") for i in range(8))),
 }
@@ -110,7 +121,6 @@ SELECT phase_index, position, {list(O.SHARES)}[best] AS band, s[best] - 1 AS k F
     "prefix_ledger": f"WITH {PACKED} SELECT first_sequence, count(*) AS documents, sum(tokens)::bigint AS tokens FROM k GROUP BY 1",
     "segment_boundaries": f"WITH {PACKED}, u AS (SELECT unnest(range(first_sequence, last_sequence + 1)) AS sequence FROM k) SELECT sequence, count(*) AS segments FROM u GROUP BY 1",
     "loss_mask_counts": f"WITH {PACKED} SELECT sum(tokens + 1)::bigint AS positions, sum(tokens)::bigint AS targets, max(last_sequence) AS last FROM k",
-    "phase_budget_pack": f"WITH {PACKED} SELECT first_sequence // 50 AS phase, count(*) AS documents, count_if(last_sequence // 50 > first_sequence // 50) AS cut FROM k GROUP BY 1",
     "sorted_multiset_digest": f"WITH {HASHED} SELECT substr(sha, 1, 2) AS part, sha256(unhex(string_agg(sha, '' ORDER BY sha))) AS digest FROM h GROUP BY 1",
     "xor_fingerprint": f"WITH {HASHED} SELECT count(*) AS n, " + ", ".join(f"bit_xor({WORD.format(a=8 * i + 1)}) AS x{i}" for i in range(8)) + ", " + ", ".join(f"sum({WORD.format(a=8 * i + 1)})::bigint AS s{i}" for i in range(8)) + " FROM h",
 }

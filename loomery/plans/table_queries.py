@@ -62,6 +62,35 @@ def running(s, d):
     return M.prior_counts(e.select("event_id", "event_type", "user_id"), "user_id", "event_id")
 
 
+def nation_edges(s, d):
+    k = F.col("n_nationkey")
+    return table(s, d, "nation").select(k.cast("long").alias("a"), ((k * 2 + 1) % 25).cast("long").alias("b"))
+
+
+def losses(s, d):
+    """Losses a target and a byte, and perplexity, by stratum and, with a null stratum, over all."""
+    rows = table(s, d, "lineitem").select(F.col("l_returnflag").alias("stratum"), (F.col("l_extendedprice") / 20000).alias("nll"), "l_quantity", (F.col("l_quantity") * (2 + F.col("l_linenumber") % 3)).alias("size"))
+    sums = rows.rollup("stratum").agg(F.sum("nll").alias("nll"), F.sum("l_quantity").alias("targets"), F.sum("size").alias("bytes"))
+    each = F.col("nll") / F.col("targets")
+    return sums.select("stratum", F.round(each, 9).alias("nll_per_target"), F.round(F.exp(each), 9).alias("perplexity"), F.round(F.col("nll") / F.col("bytes"), 9).alias("nll_per_byte"))
+
+
+def family_pairs(s, d):
+    """All pairs, left before right, of three arms, matched by document: an equi-join with an order on the arm."""
+    arms = F.array(F.col("quality").cast("int"), (1 - F.col("toxic")).cast("int"), (F.col("doc_id") % 3 == 0).cast("int"))
+    rows = table(s, d, "labels").select("doc_id", F.posexplode(arms).alias("arm", "c"))
+    x, y = (rows.select("doc_id", F.col("arm").alias(f"{n}_arm"), F.col("c").alias(n)) for n in ("left", "right"))
+    pairs = x.join(y, "doc_id").filter("left_arm < right_arm")
+    return pairs.groupBy("left_arm", "right_arm").agg(F.sum(F.col("left") - F.col("right")).alias("delta"), F.count_if(F.col("left") > F.col("right")).alias("wins"))
+
+
+def zipped(s, d):
+    """Two ordered tables side by side by their rows' ordinals; the longer one's rest meets nothing."""
+    a = O.ranked(table(s, d, "labels").select(F.col("doc_id").alias("question")), ["question"], "i")
+    b = O.ranked(table(s, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("assessor"), "lang"), ["assessor"], "i")
+    return a.join(b, "i", "full_outer").select("i", "question", "assessor", "lang")
+
+
 def running_stream(s, d):
     counts = S.finished(S.running_counts(S.stream(s, f"{d}/events.parquet")), "append")
     return counts.groupBy("event_type").agg(F.sum("prior").alias("prior"), F.max("prior").alias("most"))
@@ -91,24 +120,22 @@ QUERIES = {
     "geometry_consistency": lambda s, d: code_rows(s, d).groupBy("blob").agg(F.count_distinct("size").alias("sizes")).filter("sizes > 1"),
     "quantiles_lower": lambda s, d: O.ranked(table(s, d, "documents").select("n_chars"), ["n_chars"], "i").crossJoin(F.broadcast(table(s, d, "documents").agg(F.count("*").alias("n")))).filter("i in (floor((n - 1) * 0.1), floor((n - 1) * 0.5), floor((n - 1) * 0.9), floor((n - 1) * 0.99))").select("i", "n_chars"),
     "audit_summary": lambda s, d: table(s, d, "documents").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"), F.sum("n_chars").alias("chars"), F.count_if(F.length("text") == F.col("n_chars")).alias("sized")),
-    "zip_ordinal_join": lambda s, d: table(s, d, "labels").alias("a").join(table(s, d, "documents").alias("b"), "doc_id", "full_outer").agg(F.count("*").alias("n"), F.count("quality").alias("labelled")),
+    "zip_ordinal_join": zipped,
     "prompt_response_pairs": lambda s, d: table(s, d, "conversations").withColumn("next", F.lead(F.struct("role", "text")).over(Window.partitionBy("conv_id").orderBy("turn", "text"))).filter((F.col("role") == "user") & (F.col("next.role") == "assistant")).groupBy("conv_id").agg(F.count("*").alias("pairs"), F.sum(F.length("next.text")).alias("chars")),
-    "prompt_dup_accepted_only": lambda s, d: table(s, d, "conversations").filter("role = 'user'").groupBy(F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")).agg(F.count("*").alias("prompts"), F.sum(F.col("n") - 1).alias("repeats")),
     "record_intersect": lambda s, d: table(s, d, "documents").filter("doc_id % 2 = 0").select("text").intersect(table(s, d, "documents").filter("doc_id % 2 = 1").select("text")).agg(F.count("*").alias("n")),
     "semi_anti_boundary": lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("n")),
-    "prerequisite_closure": lambda s, d: M.closure(edges(s)),
+    "prerequisite_closure": lambda s, d: M.closure(nation_edges(s, d)),
     "prerequisite_violations": lambda s, d: (lambda e: e.join(F.broadcast(edges(s)), e["event_type"] == F.col("b")).join(e.groupBy(F.col("user_id").alias("u"), F.col("event_type").alias("t")).agg(F.min("event_id").alias("first")), (F.col("u") == F.col("user_id")) & (F.col("t") == F.col("a")), "left").filter("first is null or first >= event_id").groupBy("event_type").agg(F.count("*").alias("n")))(table(s, d, "events").select("event_id", "user_id", "event_type")),
     "first_exposure_density": lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.min("event_id").alias("first")).groupBy(F.floor(F.col("first") / 500).alias("slice")).agg(F.count("*").alias("n")),
-    "phase_coverage_missing": lambda s, d: s.createDataFrame([("view",), ("absent",)], "event_type string").join(table(s, d, "events"), "event_type", "left_anti"),
     "phase_range_join": lambda s, d: table(s, d, "documents").join(F.broadcast(s.createDataFrame([("short", 0, 500), ("middle", 500, 3000), ("long", 3000, 1 << 40)], "phase string, low long, high long")), F.col("n_chars").between(F.col("low"), F.col("high") - 1)).groupBy("phase").agg(F.count("*").alias("n")),
     "agreement_ppm_floor_ceil": lambda s, d: M.disagreement(table(s, d, "labels"), "quality", "toxic"),
     "accuracy_rollup_domain": lambda s, d: E.accuracy(arms(s, d)[0], "lang").withColumn("accuracy", F.round("accuracy", 9)),
     "paired_win_loss_tie": lambda s, d: pairs(s, d).agg(F.count_if(F.col("delta") > 0).alias("win"), F.count_if(F.col("delta") < 0).alias("loss"), F.count_if(F.col("delta") == 0).alias("tie")),
     "paired_normal_ci": lambda s, d: E.interval(pairs(s, d)).select("n", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high"))),
     "macro_gate_checks": lambda s, d: pairs(s, d).groupBy("lang").agg(F.avg("delta").alias("m")).agg(F.round(F.avg("m"), 9).alias("macro"), F.round(F.min("m"), 9).alias("worst"), F.bool_and(F.col("m") >= -0.01).alias("passed")),
-    "family_pairs_theta": lambda s, d: (lambda a: a.alias("x").join(a.alias("y"), (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.arm") < F.col("y.arm"))).groupBy(F.col("x.arm").alias("left_arm"), F.col("y.arm").alias("right_arm")).agg(F.sum(F.col("x.correct") - F.col("y.correct")).alias("delta")))(arms(s, d)[0].withColumn("arm", F.lit(0)).unionByName(arms(s, d)[1].withColumn("arm", F.lit(1)))),
+    "family_pairs_theta": family_pairs,
     "bootstrap_hash_rng": lambda s, d: E.bootstrap(pairs(s, d), "doc_id", "lang", 50).select("replicate", F.round("mean", 9).alias("mean")),
-    "nll_by_stratum": lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.sum(F.col("n_chars") * 2.5).alias("nll"), F.sum(F.size(F.split("text", r"\s+"))).alias("targets")).select("lang", "targets", F.round(F.col("nll") / F.col("targets"), 9).alias("nll_per_target"), F.round(F.exp(F.col("nll") / F.col("targets") / 10), 6).alias("perplexity")),
+    "nll_by_stratum": lambda s, d: losses(s, d),
     "argmax_first_tie": lambda s, d: table(s, d, "embeddings").select("vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).alias("best")),
     "tumbling_window_counts": lambda s, d: S.finished(S.tumbling(stream(s, d))),
     "dedup_stream": lambda s, d: S.finished(S.deduplicated(stream(s, d))),
@@ -144,26 +171,24 @@ ORACLES = {
     "geometry_consistency": f"WITH {CODE} SELECT blob, count(DISTINCT size) AS sizes FROM c GROUP BY blob HAVING count(DISTINCT size) > 1",
     "quantiles_lower": "WITH r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT i, n_chars FROM r WHERE i IN (floor((n - 1) * 0.1), floor((n - 1) * 0.5), floor((n - 1) * 0.9), floor((n - 1) * 0.99))",
     "audit_summary": "SELECT count(*) AS n, count(DISTINCT text) AS texts, sum(n_chars)::bigint AS chars, count_if(length(text) = n_chars) AS sized FROM documents",
-    "zip_ordinal_join": "SELECT count(*) AS n, count(quality) AS labelled FROM labels FULL JOIN documents USING (doc_id)",
+    "zip_ordinal_join": "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels), b AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE doc_id % 2 = 0) SELECT i, a.doc_id AS question, b.doc_id AS assessor, lang FROM a FULL JOIN b USING (i)",
     "prompt_response_pairs": "WITH n AS (SELECT conv_id, role, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)) SELECT conv_id, count(*) AS pairs, sum(length(nt))::bigint AS chars FROM n WHERE role = 'user' AND nr = 'assistant' GROUP BY conv_id",
-    "prompt_dup_accepted_only": "SELECT count(*) AS prompts, sum(n - 1)::bigint AS repeats FROM (SELECT count(*) AS n FROM conversations WHERE role = 'user' GROUP BY text)",
     "record_intersect": "SELECT count(*) AS n FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1)",
     "semi_anti_boundary": "SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
-    "prerequisite_closure": f"WITH RECURSIVE {EDGES}, r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT * FROM r",
+    "prerequisite_closure": "WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 2 + 1) % 25 AS b FROM nation), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT * FROM r",
     "prerequisite_violations": f"WITH {EDGES}, f AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) SELECT ev.event_type, count(*) AS n FROM events ev JOIN e ON ev.event_type = e.b LEFT JOIN f ON f.user_id = ev.user_id AND f.event_type = e.a WHERE first IS NULL OR first >= ev.event_id GROUP BY 1",
     "first_exposure_density": "SELECT first // 500 AS slice, count(*) AS n FROM (SELECT min(event_id) AS first FROM events GROUP BY user_id) GROUP BY 1",
-    "phase_coverage_missing": "SELECT event_type FROM (VALUES ('view'), ('absent')) v(event_type) WHERE event_type NOT IN (SELECT event_type FROM events)",
     "phase_range_join": "SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'middle' ELSE 'long' END AS phase, count(*) AS n FROM documents GROUP BY 1",
     "agreement_ppm_floor_ceil": "WITH x AS (SELECT count(*) AS n, count_if(quality IS DISTINCT FROM toxic) AS k FROM labels) SELECT n, k, k * 1000000 // n AS ppm_floor, (k * 1000000 + n - 1) // n AS ppm_ceil FROM x",
     "accuracy_rollup_domain": f"WITH {ARMS} SELECT lang, sum(a)::bigint AS correct, count(*) AS rows, round(sum(a) / count(*), 9) AS accuracy FROM p GROUP BY ROLLUP (lang)",
     "paired_win_loss_tie": f"WITH {ARMS} SELECT count_if(delta > 0) AS win, count_if(delta < 0) AS loss, count_if(delta = 0) AS tie FROM p",
     "paired_normal_ci": f"WITH {ARMS}, x AS (SELECT count(*) AS n, avg(delta) AS mean, {E.NORMAL} * sqrt(var_samp(delta) / count(*)) AS half FROM p) SELECT n, round(mean, 9) AS mean, round(mean - half, 9) AS low, round(mean + half, 9) AS high FROM x",
     "macro_gate_checks": f"WITH {ARMS}, m AS (SELECT lang, avg(delta) AS m FROM p GROUP BY lang) SELECT round(avg(m), 9) AS macro, round(min(m), 9) AS worst, bool_and(m >= -0.01) AS passed FROM m",
-    "family_pairs_theta": f"WITH {ARMS} SELECT 0 AS left_arm, 1 AS right_arm, sum(delta)::bigint AS delta FROM p",
+    "family_pairs_theta": "WITH f AS (SELECT doc_id, 0 AS arm, quality AS c FROM labels UNION ALL SELECT doc_id, 1, 1 - toxic FROM labels UNION ALL SELECT doc_id, 2, (doc_id % 3 = 0)::int FROM labels) SELECT x.arm AS left_arm, y.arm AS right_arm, sum(x.c - y.c)::bigint AS delta, count_if(x.c > y.c) AS wins FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.arm < y.arm GROUP BY ALL",
     "bootstrap_hash_rng": f"""WITH {ARMS}, s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS slot, count(*) OVER (PARTITION BY lang) AS size FROM p),
 d AS (SELECT r.range AS replicate, lang, ('0x' || substr(sha256(r.range || ':' || lang || ':' || slot), 1, 12))::bigint % size AS slot FROM s, range(50) r)
 SELECT d.replicate, round(avg(s.delta), 9) AS mean FROM d JOIN s USING (lang, slot) GROUP BY 1""",
-    "nll_by_stratum": r"WITH x AS (SELECT lang, sum(n_chars * 2.5)::double AS nll, sum(len(regexp_split_to_array(text, '\s+')))::bigint AS targets FROM documents GROUP BY lang) SELECT lang, targets, round(nll / targets, 9) AS nll_per_target, round(exp(nll / targets / 10), 6) AS perplexity FROM x",
+    "nll_by_stratum": "WITH x AS (SELECT l_returnflag AS stratum, sum(l_extendedprice / 20000) AS nll, sum(l_quantity) AS targets, sum(l_quantity * (2 + l_linenumber % 3)) AS bytes FROM lineitem GROUP BY ROLLUP (l_returnflag)) SELECT stratum, round(nll / targets, 9) AS nll_per_target, round(exp(nll / targets), 9) AS perplexity, round(nll / bytes, 9) AS nll_per_byte FROM x",
     "argmax_first_tie": "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings",
     "tumbling_window_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "dedup_stream": "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type",
