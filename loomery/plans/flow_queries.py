@@ -17,18 +17,17 @@ from loomery.plans.parsing_queries import META, TOKENS, pick
 from loomery.plans.text_queries import GRAMS, NORM, SIMPLE, _n
 from loomery.sources.tables import table
 
-I = F.col("doc_id")
 HOSTS = ["math.org", "www.chegg.com", "a.jiskha.com", "", "chegg.com.org"]
 ADDED = ["", " We define x = 2 because the proof of the theorem follows; hence, for example, y = 3.", " click here", " $a + b$ is an equation, suppose a solution"]
 
 
 def math_rows(s, d):
     """Texts as scored pages: hosts, metadata, scores and language shares by number, some with a sentence added."""
-    host = F.element_at(F.array(*map(F.lit, HOSTS)), (I % 5 + 1).cast("int"))
+    host = F.element_at(F.array(*map(F.lit, HOSTS)), (F.col("doc_id") % 5 + 1).cast("int"))
     url = F.when(host != "", F.concat(F.lit("https://"), host, F.lit("/x"))).otherwise("no address")
-    added = F.element_at(F.array(*map(F.lit, ADDED)), (I % 4 + 1).cast("int"))
-    meta = F.element_at(F.array(*map(F.lit, META[:3])), (I % 3 + 1).cast("int"))
-    rows = table(s, d, "documents").select("doc_id", F.concat("text", added).alias("text"), url.alias("url"), meta.alias("metadata"), (5 - F.when(I % 7 == 0, 1).otherwise(0)).alias("int_score"), (1 - (I % 17) / 100).alias("language_score"))
+    added = F.element_at(F.array(*map(F.lit, ADDED)), (F.col("doc_id") % 4 + 1).cast("int"))
+    meta = F.element_at(F.array(*map(F.lit, META[:3])), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = table(s, d, "documents").select("doc_id", F.concat("text", added).alias("text"), url.alias("url"), meta.alias("metadata"), (5 - F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("int_score"), (1 - (F.col("doc_id") % 17) / 100).alias("language_score"))
     return rows.withColumn("reasons", L.math_reasons(T.host(F.col("url"))))
 
 
@@ -59,7 +58,7 @@ def receipts(s, d):
 
 
 def learn_rows(s, d):
-    return table(s, d, "documents").select((I % 4).alias("phase"), F.floor(F.col("n_chars") / 4000).alias("band"), F.col("n_chars").alias("nll")).filter("band < 4")
+    return table(s, d, "documents").select((F.col("doc_id") % 4).alias("phase"), F.floor(F.col("n_chars") / 4000).alias("band"), F.col("n_chars").alias("nll")).filter("band < 4")
 
 
 def matrix(s, d):
@@ -83,14 +82,14 @@ def mixture(s, d):
 
 def split_texts(s, d):
     words = F.split(F.col("text"), " ")
-    return table(s, d, "documents").select("lang", "text", words.alias("tokens"), F.when(I % 50 == 0, F.array_join(words, "_")).otherwise(F.array_join(words, " ")).alias("decoded"))
+    return table(s, d, "documents").select("lang", "text", words.alias("tokens"), F.when(F.col("doc_id") % 50 == 0, F.array_join(words, "_")).otherwise(F.array_join(words, " ")).alias("decoded"))
 
 
 def progression(s, d):
     """Each phase's documents by band, mean difficulty and digest of the identities in order, and whether the mean rises."""
     rows = O.settled(Q.with_signals(table(s, d, "documents")).filter(F.size("quality_reasons") == 0).select("doc_id", "band", "difficulty", "text"))
     placed = O.phases(rows.select("doc_id", "band", "text")).select("doc_id", "phase_index")
-    return rows.join(placed, "doc_id").groupBy("phase_index").agg(F.count("*").alias("documents"), *(F.count_if(F.col("band") == b).alias(b) for b in O.SHARES), F.round(F.avg("difficulty"), 9).alias("mean"), H.ordered_digest(I, H.sha(F.col("text"))).alias("digest"))
+    return rows.join(placed, "doc_id").groupBy("phase_index").agg(F.count("*").alias("documents"), *(F.count_if(F.col("band") == b).alias(b) for b in O.SHARES), F.round(F.avg("difficulty"), 9).alias("mean"), H.ordered_digest(F.col("doc_id"), H.sha(F.col("text"))).alias("digest"))
 
 
 QUERIES = {
@@ -100,7 +99,7 @@ QUERIES = {
     "math_ladder_sample": lambda s, d: V.sampled(candidates(s, d), ["stratum"], "ladder:", "doc_id", 8).select("doc_id", "stratum", "enough"),
     "freeze_role_outcomes": lambda s, d: L.frozen_roles(role_rows(s, d), table(s, d, "benchmark"), "ord").select("ord", "role", "outcome"),
     "freeze_role_receipts": lambda s, d: L.frozen_roles(role_rows(s, d), table(s, d, "benchmark"), "ord").groupBy("role").agg(F.count("*").alias("rows"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("accepted", "malformed", "duplicate")), F.count_if(F.col("outcome").contains(":")).alias("overlaps")),
-    "order_control": lambda s, d: L.order_control(table(s, d, "documents").select("doc_id", (I % 3).alias("band")), "doc_id", "band", 4, "control"),
+    "order_control": lambda s, d: L.order_control(table(s, d, "documents").select("doc_id", (F.col("doc_id") % 3).alias("band")), "doc_id", "band", 4, "control"),
     "receipt_self_hash": receipts,
     "band_evidence": lambda s, d: L.band_evidence(learn_rows(s, d), "nll", 5, 4),
     "learnability_policy_checks": policy,

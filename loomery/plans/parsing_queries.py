@@ -13,30 +13,27 @@ def docs(s, d, *columns):
     return table(s, d, "documents").select("doc_id", *columns)
 
 
-I = F.col("doc_id")
-
-
 def quoted(s, d):
     """Texts with a quote of them; some quotes occur twice, some are broken differently."""
     text = F.col("text")
-    quote = F.when(I % 7 == 0, F.lit("not in any of the texts")).otherwise(F.substring(text, (I % 50 + 1).cast("int"), F.lit(20)))
-    return docs(s, d, F.when(I % 5 == 0, F.concat(text, F.lit(" "), quote)).otherwise(text).alias("text"), quote.alias("quote"))
+    quote = F.when(F.col("doc_id") % 7 == 0, F.lit("not in any of the texts")).otherwise(F.substring(text, (F.col("doc_id") % 50 + 1).cast("int"), F.lit(20)))
+    return docs(s, d, F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.lit(" "), quote)).otherwise(text).alias("text"), quote.alias("quote"))
 
 
 def optioned(s, d):
     """Texts of options: some begin wrongly, some skip a letter, some have lines that go on."""
     word = F.regexp_extract("text", r"[a-z]+", 0)
-    letters = F.concat(F.when(I % 11 == 0, "x\n").otherwise(""), F.lit("A. first "), word, F.lit("\n"), F.when(I % 3 == 0, "and more\n").otherwise(""), F.when(I % 13 == 0, "C. ").otherwise("B. "), F.when(I % 17 == 0, " ").otherwise(word))
-    return docs(s, d, letters.alias("letters"), F.concat(F.lit("1 - "), word, F.lit("\nmore\n"), F.when(I % 9 == 0, "3").otherwise("2"), F.lit(" - two")).alias("numbers"))
+    letters = F.concat(F.when(F.col("doc_id") % 11 == 0, "x\n").otherwise(""), F.lit("A. first "), word, F.lit("\n"), F.when(F.col("doc_id") % 3 == 0, "and more\n").otherwise(""), F.when(F.col("doc_id") % 13 == 0, "C. ").otherwise("B. "), F.when(F.col("doc_id") % 17 == 0, " ").otherwise(word))
+    return docs(s, d, letters.alias("letters"), F.concat(F.lit("1 - "), word, F.lit("\nmore\n"), F.when(F.col("doc_id") % 9 == 0, "3").otherwise("2"), F.lit(" - two")).alias("numbers"))
 
 
 def answered(s, d):
-    body = F.concat(F.lit('{"a": '), I.cast("string"), F.lit("}"))
-    return docs(s, d, F.when(I % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```\n"))).when(I % 3 == 1, F.concat(F.lit("```"), body, F.lit("```"))).otherwise(body).alias("response"))
+    body = F.concat(F.lit('{"a": '), F.col("doc_id").cast("string"), F.lit("}"))
+    return docs(s, d, F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```\n"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```"), body, F.lit("```"))).otherwise(body).alias("response"))
 
 
 def jsons(s, d):
-    return docs(s, d, F.concat(F.lit('{"z":["short","a longer string '), I.cast("string"), F.lit('"],"a":{"k":"nested string","n":5},"m":"é'), I.cast("string"), F.when(I % 10 == 0, "").otherwise('"}')).alias("json"))
+    return docs(s, d, F.concat(F.lit('{"z":["short","a longer string '), F.col("doc_id").cast("string"), F.lit('"],"a":{"k":"nested string","n":5},"m":"é'), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 10 == 0, "").otherwise('"}')).alias("json"))
 
 
 TOKENS = ["слово", "漢字", "ひらがな", "mixед", "word", "한글", "עברית", "12", "ไทย", "カタカナ1"]
@@ -46,18 +43,18 @@ TIMES = ["2025-01-02T03:04:05Z", "2025-01-02T03:04:05+02:00", "2025-01-02T03:04:
 
 
 def one_of(values):
-    return F.element_at(F.array(*map(F.lit, values)), (I % len(values) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
 
 
 def summaries(s, d):
-    line = lambda pad, k: F.concat(F.lit(pad), F.lit("- [Part "), I.cast("string"), F.lit(k), F.lit("](ch0"), (I % 9).cast("string"), F.lit(f"-{k}.md)"))
+    line = lambda pad, k: F.concat(F.lit(pad), F.lit("- [Part "), F.col("doc_id").cast("string"), F.lit(k), F.lit("](ch0"), (F.col("doc_id") % 9).cast("string"), F.lit(f"-{k}.md)"))
     return docs(s, d, F.concat(F.lit("# Summary\n\n"), line("", "a"), F.lit("\n"), line("  ", "b"), F.lit("\nplain text\n"), line("    ", "c")).alias("text"))
 
 
 def manuals(s, d):
-    entry = lambda k: F.concat(F.lit(f"   {k}"), (I % 100).cast("string"), F.lit(".rst\n"))
-    title = F.concat(F.lit("Chapter "), I.cast("string"))
-    return docs(s, d, F.concat(title, F.lit("\n"), F.repeat(F.lit("="), F.when(I % 6 == 0, 3).otherwise(20)), F.lit("\n\n.. toctree::\n   :maxdepth: 1\n\n"), entry("a"), entry("b"), F.lit("\nThe end\n-------\n   c.rst\n")).alias("text"))
+    entry = lambda k: F.concat(F.lit(f"   {k}"), (F.col("doc_id") % 100).cast("string"), F.lit(".rst\n"))
+    title = F.concat(F.lit("Chapter "), F.col("doc_id").cast("string"))
+    return docs(s, d, F.concat(title, F.lit("\n"), F.repeat(F.lit("="), F.when(F.col("doc_id") % 6 == 0, 3).otherwise(20)), F.lit("\n\n.. toctree::\n   :maxdepth: 1\n\n"), entry("a"), entry("b"), F.lit("\nThe end\n-------\n   c.rst\n")).alias("text"))
 
 
 def models(s):
@@ -79,17 +76,17 @@ QUERIES = {
     "unique_quote_span": lambda s, d: quoted(s, d).select("doc_id", G.unique_quote(F.col("text"), F.col("quote")).alias("q")).select("doc_id", "q.start", "q.end", "q.sha"),
     "whitespace_tolerant_quote": lambda s, d: docs(s, d, F.substring("text", 1, 300).alias("text")).withColumn("quote", F.concat_ws("  \n", F.slice(F.split("text", " "), 2, 4))).select("doc_id", G.tolerant_quote(F.col("text"), F.col("quote")).alias("quote")),
     "fenced_json_strip": lambda s, d: answered(s, d).select("doc_id", G.unfenced(F.col("response")).alias("body")),
-    "normalized_prompt_identity": lambda s, d: docs(s, d, G.prompt_identity(F.col("lang"), I, F.col("text")).alias("identity")),
+    "normalized_prompt_identity": lambda s, d: docs(s, d, G.prompt_identity(F.col("lang"), F.col("doc_id"), F.col("text")).alias("identity")),
     "lettered_choice_parse": lambda s, d: optioned(s, d).select("doc_id", F.array_join(G.lettered_choices(F.col("letters")), "|").alias("choices")),
     "numbered_choice_parse": lambda s, d: optioned(s, d).select("doc_id", F.array_join(G.numbered_choices(F.col("numbers")), "|").alias("choices")),
-    "prompt_template": lambda s, d: docs(s, d, F.md5(G.question_prompt(F.when(I % 2 == 0, F.substring("text", 1, 50)).otherwise(""), F.col("lang")).cast("binary")).alias("prompt")),
+    "prompt_template": lambda s, d: docs(s, d, F.md5(G.question_prompt(F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 50)).otherwise(""), F.col("lang")).cast("binary")).alias("prompt")),
     "script_classifier": lambda s, d: docs(s, d, one_of(TOKENS).alias("token")).select("doc_id", G.script_of(F.col("token")).alias("script")),
     "syntax_check": lambda s, d: docs(s, d, one_of(CODE).alias("code")).select("doc_id", G.python_parses(F.col("code")).alias("parses"), G.comment_line_ppm(F.col("code")).alias("comment_ppm")),
     "json_string_leaves": lambda s, d: jsons(s, d).select("doc_id", F.array_join(G.json_leaves(F.col("json")), "|").alias("leaves")),
     "canonical_json_ascii": lambda s, d: jsons(s, d).select("doc_id", G.canonical_ascii(F.col("json")).alias("json")),
     "json_metadata_flag": lambda s, d: docs(s, d, one_of(META).alias("meta")).select("doc_id", G.found_math(F.col("meta")).alias("found")),
     "iso8601_tz": lambda s, d: docs(s, d, one_of(TIMES).alias("t")).select("doc_id", F.unix_timestamp(G.utc_time(F.col("t"))).alias("seconds")),
-    "multi_field_text_scan": lambda s, d: G.text_fields(docs(s, d, F.when(I % 3 == 0, F.col("lang")).alias("prompt"), F.when(I % 4 == 0, "").otherwise(F.col("source")).alias("answer")), "doc_id"),
+    "multi_field_text_scan": lambda s, d: G.text_fields(docs(s, d, F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("prompt"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source")).alias("answer")), "doc_id"),
     "toc_parse_markdown": lambda s, d: G.markdown_contents(summaries(s, d), "doc_id"),
     "toc_parse_rst": lambda s, d: G.toctree(manuals(s, d), "doc_id"),
     "consecutive_headings": lambda s, d: G.headings(manuals(s, d), "doc_id"),
