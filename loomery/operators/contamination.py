@@ -38,23 +38,13 @@ def first_occurrence(df: DataFrame, by: Column, order: str) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Each document with its shingle hits and whether it repeats an earlier text; ``accepted`` if neither.
-
-    Both kinds of shingles of a document are made from one normalised text and meet the boundary in one join.
-    """
-    marked = lambda grams, code: F.transform(grams, lambda g: F.struct(F.lit(code).alias("code"), g.alias("g")))
-    edge = boundary(texts).select(F.lit(False).alias("code"), "g").unionByName(boundary(texts, width=CODE_WIDTH, code=True).select(F.lit(True).alias("code"), "g"))
-    edge = settled(edge)
+    """Each document with its shingle hits and whether it repeats an earlier text; ``accepted`` if neither."""
+    words = overlap_counts(docs, boundary(texts))
+    code = overlap_counts(docs, boundary(texts, width=CODE_WIDTH, code=True), width=CODE_WIDTH, code=True).withColumnRenamed("hits", "code_hits")
     normal = docs.select("doc_id", T.nfkc_casefold(F.col("text")).alias("n"))
-    split = normal.select("doc_id", T.words(F.col("n")).alias("w"), T.code_tokens(F.col("n")).alias("c"))
-    grams = F.concat(marked(T.shingles(F.col("w"), WORD_WIDTH), False), marked(T.shingles(F.col("c"), CODE_WIDTH), True))
-    each = split.select("doc_id", F.explode(grams).alias("x")).select("doc_id", "x.code", "x.g")
-    small = edge.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = each.join(F.broadcast(edge) if small else edge, ["code", "g"], "left_semi")
-    hits = met.groupBy("doc_id").agg(F.count_if(~F.col("code")).alias("hits"), F.count_if("code").alias("code_hits"))
     named = settled(normal.select("doc_id", F.sha2(F.col("n").cast("binary"), 256).alias("sha")))
     seen = first_occurrence(named, F.col("sha"), "doc_id").select("doc_id", "duplicate")
-    joined = docs.join(seen, "doc_id").join(hits, "doc_id", "left").na.fill(0, ["hits", "code_hits"])
+    joined = docs.join(seen, "doc_id").join(words, "doc_id", "left").join(code, "doc_id", "left").na.fill(0, ["hits", "code_hits"])
     return joined.withColumn("accepted", ~F.col("duplicate") & (F.col("hits") == 0) & (F.col("code_hits") == 0))
 
 
