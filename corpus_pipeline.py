@@ -1,4 +1,11 @@
-"""From raw documents to packed sequences, one operator a stage."""
+"""From raw documents to packed sequences, one operator a stage.
+
+Every stage takes and returns whole tables and defines its results for odd rows. Null and empty texts, and texts without a
+letter, have no language and go in the first stage. Rows without an id count as an empty id wherever an id is hashed, and
+a row without an id stays only if no document with one is like it. Repeated rows are judged alike; of similar documents
+the one with the smallest id stays. Other columns, whatever their names, pass through all stages but the last. Empty
+tables give empty results, and without labels no document is toxic.
+"""
 
 from __future__ import annotations
 
@@ -47,11 +54,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Bytes of a row group between stages: writers hold no more than that.
+ROW_GROUP = 16 << 20
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever file system it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each result written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)  # nothing reads it any more
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
