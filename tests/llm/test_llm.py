@@ -509,3 +509,38 @@ def test_pipeline_equals_brute_force(spark, docs, labels, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         clash = stage(spark, clash, str(tmp_path))
         assert clash.columns == docs.columns
+
+
+def test_url_aliases_equal_recursive_sql(spark):
+    """Chains, cycles, a hub, and components with blocked and allowed members, against reachability in SQL."""
+    random_ = random.Random(31)
+    names = [f"https://p{i}.org/a{i}" for i in range(160)]
+    names += [f"https://b{i}.net/{random_.choice(['es', 'fr', 'it'])}/{i}" for i in range(30)] + [f"https://s{i}.com/{i}" for i in range(12)]
+    links = [(names[i], names[i + 1]) for i in range(20)] + [(names[30 + i], names[30 + (i + 1) % 9]) for i in range(9)] + [(names[i], names[50]) for i in range(51, 90)]
+    links += [(random_.choice(names), random_.choice(names)) for _ in range(70)]
+    target = {}
+    for u, v in links:
+        target.setdefault(u, v)
+    more = [(u, v) for u, v in links if target[u] != v]
+    pages = [(i, u, f'<link rel="canonical" href="{target[u]}">' if u in target else "") for i, u in enumerate(names)]
+    found = {r["page_id"]: r["verdict"] for r in urlrules.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES, spark.createDataFrame(more, "u string, v string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO p VALUES (?, ?, ?)", pages)
+    con.execute("CREATE TABLE l (u VARCHAR, v VARCHAR)")
+    con.executemany("INSERT INTO l VALUES (?, ?)", links)
+    wanted = con.execute("""
+        WITH RECURSIVE e AS (SELECT u, v FROM l UNION SELECT v, u FROM l UNION SELECT url, url FROM p),
+        r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+        own AS (SELECT url, CASE WHEN contains(url, '.com/') THEN 'allow' WHEN regexp_matches(url, '[.]net/(es|fr)/') THEN 'block' END AS own FROM p),
+        s AS (SELECT r.u AS url, bool_or(own = 'block') AND NOT coalesce(bool_or(own = 'allow'), false) AS bad FROM r JOIN own ON own.url = r.v GROUP BY 1)
+        SELECT page_id, coalesce(own, CASE WHEN bad THEN 'block' ELSE 'allow' END) FROM p JOIN own USING (url) JOIN s USING (url)""").fetchall()
+    assert found == dict(wanted) and {"allow", "block"} == set(found.values())
+    extra = spark.createDataFrame([(1, "https://x.net/es/", None, "x")], "page_id long, url string, html string, verdict string")
+    assert urlrules.judge(extra, URL_RULES).first()["verdict"] == "block"
+
+
+def test_operators_ignore_columns_of_other_names(docs):
+    clash = docs.select("doc_id", "text", "lang", "source", F.lit(1).alias("ids"), F.lit(2).alias("sequence_id"), F.lit(3).alias("media"), F.lit(4).alias("u"))
+    assert packing.pack(clash, VOCAB).select("sequence_id").distinct().count() >= 1
+    assert bpe.round_trip(clash, RANKS).count() == media.digests(clash).count() == docs.count()
