@@ -24,11 +24,12 @@ import base64
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,10 @@ CLASSES, SHARED = 128, 16
 WIDTH, DEPTH = 32, 16
 #: Windows of a step: BATCH at first, twice as many after every SETTLE steps, up to MOST_BATCH.
 ROUNDS, BATCH, SETTLE, MOST_BATCH, RATE = 3, 16, 64, 64, 0.01
-#: Most frequent words that every task holds; words that a task counts, and whose units it keeps, before it lets go.
+#: Most frequent words that every task holds; words that a task counts, and others whose units it keeps, before it lets go.
 HEAD, WORDS_KEPT, UNITS_KEPT = 200_000, 200_000, 250_000
-WINDOWS_AT_ONCE = 256
+#: Windows scored in one step, and units whose shares of all classes are at once in the processor's cache.
+WINDOWS_AT_ONCE, UNITS_AT_ONCE = 256, 1024
 END, START = CLASSES - 1, CLASSES
 #: Bounds of the weight of corpus shares.
 LEAST, MOST = 0.5, 0.97
@@ -70,46 +72,86 @@ def vocabulary(path: str) -> int:
     return encoding(path).max_token_value + 1
 
 
+def split(texts: pa.Array | list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """(the words of the texts, one text after the other; words of each)."""
+    if isinstance(texts, pa.Array):
+        lists = [(text or b"").lower().split() for text in texts.cast(pa.binary()).to_pylist()]
+    else:
+        lists = [words_of(text) for text in texts]
+    return list(chain.from_iterable(lists)), np.array([len(x) for x in lists], np.int64)
+
+
+def spellings(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(units of the words one after the other, how many each has); a unit: subword id * 2 + (is it the last).
+
+    The public pattern ends a piece before a space that a letter, digit or sign follows, so words are encoded in one call;
+    those with white space of their own beyond ASCII are encoded alone."""
+    tokenizer, texts = encoding(path), [word.decode("utf-8", "surrogatepass") for word in words]
+    if " ".join(texts).split() != texts:
+        found = [np.array(tokenizer.encode_ordinary(" " + x), np.int32) for x in texts]
+        sizes = np.array([len(x) for x in found], np.int64)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+    else:
+        flat = np.array(tokenizer.encode_ordinary(" " + " ".join(texts)) if texts else [], np.int32)
+        sizes = np.diff(np.flatnonzero(_begins(path)[flat]), append=len(flat))
+    units = flat * 2
+    units[np.cumsum(sizes) - 1] += 1
+    return units, sizes
+
+
+def _begins(path: str) -> np.ndarray:
+    """Which ids begin with a space."""
+
+    def made() -> np.ndarray:
+        tokenizer = encoding(path)
+        out = np.zeros(vocabulary(path), bool)
+        for token in tokenizer.token_byte_values():
+            out[tokenizer.encode_single_token(token)] = token[:1] == b" "
+        return out
+
+    return held("lm begins", path, made, 3)
+
+
 def units_of(words: list[bytes], path: str) -> list[np.ndarray]:
-    """Units of each word: subword id * 2 + (is it the last)."""
-    encode, out = encoding(path).encode_ordinary, []
-    for word in words:
-        units = np.array(encode(" " + word.decode("utf-8", "surrogatepass")), np.int32) * 2
-        units[-1] += 1
-        out.append(units)
-    return out
+    """Units of each word."""
+    flat, sizes = spellings(words, path)
+    return np.split(flat, np.cumsum(sizes)[:-1]) if words else []
 
 
 class Lexicon:
-    """Units of words, and their counts if they are in ``head`` (else -1): one look-up a word, then arrays."""
+    """Units of words, and their counts if they are in the head (else -1): one look-up a word, then arrays.
+
+    ``head`` are its words, their counts, units and how many units each has; these are never let go."""
 
-    def __init__(self, path: str, head: dict[bytes, int]):
-        self.path, self.head = path, head
-        self.clear()
+    def __init__(self, path: str, head: tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray] | None = None):
+        words, counts, units, sizes = head or ([], np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self.path, self.fixed = path, len(words)
+        self.ids: dict[bytes, int] = dict(zip(words, range(len(words)), strict=True))
+        self.begin, self.seen, self.units = np.append(0, np.cumsum(sizes)), counts, units
 
     def clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.begin, self.seen, self.units = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = dict(islice(self.ids.items(), self.fixed))
+        self.begin, self.seen = self.begin[: self.fixed + 1], self.seen[: self.fixed]
+        self.units = self.units[: self.begin[-1]]
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """The place of each word in ``begin`` and ``seen``; words that are new are learned."""
-        if len(self.ids) > UNITS_KEPT:
+        if len(self.ids) - self.fixed > UNITS_KEPT:
             self.clear()
         found = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(found < 0)
         if len(missing):
             fresh = list({words[i] for i in missing.tolist()})
-            units = units_of(fresh, self.path)
+            units, sizes = spellings(fresh, self.path)
             self.ids.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
-            self.units = np.concatenate([self.units, *units])
-            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(x) for x in units]))
-            self.seen = np.append(self.seen, np.fromiter(map(self.head.get, fresh, repeat(-1)), np.int64, len(fresh)))
             found[missing] = [self.ids[words[i]] for i in missing.tolist()]
+            self.units = np.concatenate([self.units, units])
+            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(sizes))
+            self.seen = np.append(self.seen, np.full(len(fresh), -1))
         return found
 
-    def spelled(self, ids: np.ndarray, counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def spelled(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(units of texts of ``counts`` words each, -1 after each text, where words and ends begin, where texts do)."""
-        counts = np.asarray(counts, np.int64)
         ends = np.cumsum(counts) + np.arange(len(counts))
         sizes = np.ones(len(ids) + len(counts), np.int64)
         is_word = np.ones(len(sizes), bool)
@@ -154,34 +196,58 @@ def start_weights(prior: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+PARTS = np.arange((CLASSES + 1) * DEPTH).reshape(-1, DEPTH)
 MASK = np.where(np.tril(np.ones((WIDTH, WIDTH), bool)), 0, -1e9).astype(np.float32)
 
 
 def log_shares(w: dict[str, np.ndarray], classes: np.ndarray, used: np.ndarray, target: np.ndarray, since: int) -> np.ndarray:
     """Natural log-probability of ``target`` classes at positions from ``since`` on."""
-    x = w["embed"][classes] + w["place"]
-    asks = x[:, since:] @ (w["query"] / np.float32(math.sqrt(DEPTH)))
-    weights = asks @ (x @ w["key"]).transpose(0, 2, 1)
-    weights += MASK[since:]
-    part = np.flatnonzero(~used.all(1))
-    weights[part] += np.where(used[part], np.float32(0), np.float32(-1e9))[:, None, :]
-    _exponentiate(weights)
-    total = weights.sum(2, keepdims=True)
-    seen = x[:, since:] + weights @ (x @ w["value"]) / np.maximum(total, np.float32(1e-30))
-    logits = seen.reshape(-1, DEPTH) @ w["out"]
-    logits += w["bias"]
-    goal = logits[np.arange(len(logits)), target.ravel()]
-    shift = _exponentiate(logits)
-    return (goal - shift - np.log(logits @ np.ones(CLASSES, logits.dtype))).reshape(target.shape)
-
-
-def _exponentiate(x: np.ndarray) -> np.ndarray | np.float32:
-    """exp in place; rows are shifted, by what is returned, only if some value could overflow or all of a row vanish."""
+    kind, size = w["out"].dtype, len(classes)
+    x = w["embed"].take(classes, axis=0)
+    x += w["place"]
+    late = np.ascontiguousarray(x[:, since:])
+    asks = (late.reshape(-1, DEPTH) @ (w["query"] / kind.type(math.sqrt(DEPTH)))).reshape(late.shape)
+    keys, values = ((x.reshape(-1, DEPTH) @ w[k]).reshape(x.shape) for k in ("key", "value"))
+    weights = asks @ keys.transpose(0, 2, 1)
+    mask, part = np.broadcast_to(MASK[since:], weights.shape), np.flatnonzero(~used.all(1))
+    if len(part):
+        mask = mask.copy()
+        mask[part] += np.where(used[part], kind.type(0), kind.type(-1e9))[:, None, :]
+    _exponentiate(weights, mask)
+    total = (weights.reshape(-1, WIDTH) @ np.ones(WIDTH, kind)).reshape(size, -1, 1)
+    heard = weights @ values
+    heard /= np.maximum(total, kind.type(1e-30))
+    late += heard
+    seen, goal = _with_one(late), target.ravel()
+    ends, out = np.concatenate([w["out"], w["bias"][None]]), np.empty(len(goal), kind)
+    for a in range(0, len(goal), UNITS_AT_ONCE):
+        logits = seen[a : a + UNITS_AT_ONCE] @ ends
+        part = out[a : a + UNITS_AT_ONCE]
+        part[:] = logits[np.arange(len(logits)), goal[a : a + UNITS_AT_ONCE]]
+        part -= _exponentiate(logits)
+        part -= np.log(logits @ np.ones(CLASSES, kind))
+    return out.reshape(target.shape)
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    """One row a unit, with a 1 after its components, which takes the bias."""
+    out = np.ones((x.size // DEPTH, DEPTH + 1), x.dtype)
+    out[:, :DEPTH] = x.reshape(-1, DEPTH)
+    return out
+
+
+def _exponentiate(x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray | np.float32:
+    """exp in place, after ``mask`` is added, which leaves some value of each row that counts as it is; rows are shifted, by
+    what is returned, only if some value could overflow or all of a row vanish."""
     shift = np.float32(0)
-    top = x.max(-1)
-    if top.max() > 40 or top.min() < -40:
-        shift = top
-        x -= top[..., None]
+    near = x.max() <= 40 and x.min() >= -40
+    if mask is not None:
+        x += mask
+    if not near:
+        top = x.max(-1)
+        if top.max() > 40 or top.min() < -40:
+            shift = top
+            x -= top[..., None]
     np.exp(x, out=x)
     return shift
 
@@ -189,63 +255,73 @@ def _exponentiate(x: np.ndarray) -> np.ndarray | np.float32:
 def gradient(w: dict[str, np.ndarray], classes: np.ndarray, target: np.ndarray, used: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Slopes of the mean cross-entropy of whole windows, and that mean; ``used`` are the first places of each."""
     size, kind, root = len(classes), w["out"].dtype, w["out"].dtype.type(math.sqrt(DEPTH))
-    x = w["embed"][classes] + w["place"]
+    x = w["embed"].take(classes, axis=0)
+    x += w["place"]
     flat = x.reshape(-1, DEPTH)
-    asks, keys, values = (a.reshape(size, WIDTH, DEPTH) for a in np.split(flat @ np.concatenate([w["query"] / root, w["key"], w["value"]], 1), 3, 1))
+    asks, keys, values = ((flat @ a).reshape(x.shape) for a in (w["query"] / root, w["key"], w["value"]))
     shares = asks @ keys.transpose(0, 2, 1)
-    shares += MASK  # places that are not used come last, so no other looks at them
-    _exponentiate(shares)
-    shares /= shares.sum(2, keepdims=True)
-    seen = (x + shares @ values).reshape(-1, DEPTH)
-    p = seen @ w["out"]
-    p += w["bias"]
-    _exponentiate(p)
-    p /= (p @ np.ones(CLASSES, kind))[:, None]
-    goal, real, rows = target.ravel(), used.ravel(), np.arange(size * WIDTH)
-    n = max(1, int(real.sum()))
-    loss = -np.log(p[rows, goal] + 1e-30)[real].sum() / n
-    p[rows, goal] -= 1
-    p *= (real / kind.type(n)).astype(kind)[:, None]
-    slope = {"out": seen.T @ p, "bias": p.sum(0)}
-    back = (p @ w["out"].T).reshape(size, WIDTH, DEPTH)
+    _exponentiate(shares, MASK)  # places that are not used come last, so no other looks at them
+    shares /= (shares.reshape(-1, WIDTH) @ np.ones(WIDTH, kind)).reshape(size, WIDTH, 1)
+    heard = shares @ values
+    heard += x
+    seen = _with_one(heard)
+    goal, real, n = target.ravel(), used.ravel(), max(1, int(used.sum()))
+    ends, out = np.concatenate([w["out"], w["bias"][None]]), np.ascontiguousarray(w["out"].T)
+    back, to_ends, loss = np.empty(flat.shape, kind), np.zeros(ends.shape, kind), 0.0
+    for a in range(0, len(goal), UNITS_AT_ONCE):
+        here = slice(a, a + UNITS_AT_ONCE)
+        p = seen[here] @ ends
+        _exponentiate(p)
+        total, rows = p @ np.ones(CLASSES, kind), np.arange(len(p))
+        hit = p[rows, goal[here]]
+        loss -= np.log(hit / total + 1e-30)[real[here]].sum()
+        p[rows, goal[here]] = hit - total
+        scale = (real[here] / (kind.type(n) * total)).astype(kind)[:, None]  # of the few components, not of all classes
+        to_ends += (seen[here] * scale).T @ p
+        np.multiply(p @ out, scale, out=back[here])
+    slope, back = {"out": to_ends[:DEPTH], "bias": to_ends[DEPTH]}, back.reshape(x.shape)
     to_shares, to_values = back @ values.transpose(0, 2, 1), shares.transpose(0, 2, 1) @ back
     to_shares -= np.einsum("bij,bij->bi", to_shares, shares)[:, :, None]
     to_shares *= shares
-    moves = np.concatenate([to_shares @ keys / root, to_shares.transpose(0, 2, 1) @ asks, to_values], 2).reshape(-1, 3 * DEPTH)
-    slope |= dict(zip(("query", "key", "value"), np.split(flat.T @ moves, 3, 1), strict=True))
-    back += (moves @ np.concatenate([w["query"], w["key"], w["value"]], 1).T).reshape(back.shape)
+    for name, move in (("query", to_shares @ keys / root), ("key", to_shares.transpose(0, 2, 1) @ asks), ("value", to_values)):
+        move = move.reshape(-1, DEPTH)
+        slope[name] = flat.T @ move
+        back += (move @ w[name].T).reshape(back.shape)
     slope["place"] = back.sum(0)
-    where = classes.reshape(-1, 1) * DEPTH + np.arange(DEPTH)
-    slope["embed"] = np.bincount(where.ravel(), back.ravel(), (CLASSES + 1) * DEPTH).reshape(-1, DEPTH).astype(kind)
-    return slope, float(loss)
+    slope["embed"] = np.bincount(PARTS.take(classes, axis=0).ravel(), back.ravel(), (CLASSES + 1) * DEPTH).reshape(-1, DEPTH).astype(kind)
+    return slope, float(loss / n)
 
 
 class Descent:
-    """Adam over the weights."""
+    """Adam over the weights, which lie one after the other in ``flat``."""
 
     def __init__(self, w: dict[str, np.ndarray]):
-        self.w = {k: v.copy() for k, v in w.items()}
-        self.first, self.second, self.step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
+        self.flat = np.concatenate([w[k].ravel() for k in SHAPES])
+        self.w, at = {}, 0
+        for k, s in SHAPES.items():
+            self.w[k] = self.flat[at : at + math.prod(s)].reshape(s)
+            at += math.prod(s)
+        self.first, self.second, self.step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
 
     def take(self, classes: np.ndarray, target: np.ndarray, used: np.ndarray) -> float:
         """One step; returns the loss before it."""
         slope, loss = gradient(self.w, classes, target, used)
         self.step += 1
-        for k, g in slope.items():
-            self.first[k] = 0.9 * self.first[k] + 0.1 * g
-            self.second[k] = 0.99 * self.second[k] + 0.01 * g * g
-            move = (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-8)
-            self.w[k] -= (RATE * move).astype(np.float32)
+        g = np.concatenate([slope[k].ravel() for k in SHAPES])
+        self.first = 0.9 * self.first + 0.1 * g
+        self.second = 0.99 * self.second + 0.01 * g * g
+        move = (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-8)
+        self.flat -= (RATE * move).astype(np.float32)
         return loss
 
 
-def training_windows(groups: Iterator[list[str | None]], path: str, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def training_windows(groups: Iterator[pa.Array | list[str | None]], path: str, of: np.ndarray, head: tuple | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(classes of WIDTH units and the one before, how many are real) of consecutive windows that hold every unit of every
     text; those of a group of texts in an order by chance, so that a batch is not of one text."""
-    words, random = Lexicon(path, {}), np.random.default_rng(13)
+    words, random = Lexicon(path, head), np.random.default_rng(13)
     for group in groups:
-        split = [words_of(text) for text in group]
-        flat, _, begin = words.spelled(words.look_up(list(chain.from_iterable(split))), [len(x) for x in split])
+        every, counts = split(group)
+        flat, _, begin = words.spelled(words.look_up(every), counts)
         goal = np.where(flat < 0, END, of[flat]).astype(np.int16)
         before = np.empty_like(goal)
         before[1:] = goal[:-1]
@@ -276,8 +352,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text"):
-                for text in part.column(0).to_pylist():
-                    seen.update(words_of(text))
+                seen.update(split(part.column(0))[0])
                 if len(seen) > WORDS_KEPT:
                     yield out()
         yield out()
@@ -294,10 +369,10 @@ def unit_counts(counts: DataFrame, path: str) -> tuple[dict[int, int], dict[int,
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                found = units_of(part.column(0).to_pylist(), path)
+                found, sizes = spellings(part.column(0).to_pylist(), path)
                 times = part.column(1).to_numpy()
-                np.add.at(total, np.concatenate(found), np.repeat(times, [len(x) for x in found]))
-                np.add.at(total, np.array([x[0] + size for x in found]), times)
+                np.add.at(total, found, np.repeat(times, sizes))
+                np.add.at(total, found[np.cumsum(sizes) - sizes] + size, times)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["u", "c"])
 
@@ -306,8 +381,9 @@ def unit_counts(counts: DataFrame, path: str) -> tuple[dict[int, int], dict[int,
     return {r["u"]: r["c"] for r in rows if r["u"] < size}, {r["u"] - size: r["c"] for r in rows if r["u"] >= size}
 
 
-def fit(docs: DataFrame, classes: Classes, path: str) -> dict[str, np.ndarray]:
-    """Weights trained by every unit of ``docs`` (doc_id, text), whose rows are dealt out to the rounds by hash."""
+def fit(docs: DataFrame, classes: Classes, path: str, head: Broadcast) -> dict[str, np.ndarray]:
+    """Weights trained by every unit of ``docs`` (doc_id, text), whose rows are dealt out to the rounds by hash; ``head``
+    spares the tasks the spelling of its words."""
     spark = docs.sparkSession
     weights = start_weights(classes.prior)
     for turn in range(ROUNDS):
@@ -318,13 +394,13 @@ def fit(docs: DataFrame, classes: Classes, path: str) -> dict[str, np.ndarray]:
             now, of = shared.value
             descent, seen = Descent(now), 0
             rest, left = np.zeros((0, WIDTH + 1), np.int16), np.zeros(0, np.int64)
-            groups = (part.column(0).to_pylist() for batch in batches for part in slices(batch, "text"))
+            groups = (part.column(0) for batch in batches for part in slices(batch, "text"))
 
             def step(lines: np.ndarray, real: np.ndarray) -> None:
                 lines = lines.astype(np.int64)
                 descent.take(lines[:, :-1], lines[:, 1:], np.arange(WIDTH) < real[:, None])
 
-            for lines, real in training_windows(groups, path, of):
+            for lines, real in training_windows(groups, path, of, head.value):
                 seen += int(real.sum())
                 lines, real = np.concatenate([rest, lines]), np.concatenate([left, real])
                 at = 0
@@ -334,7 +410,7 @@ def fit(docs: DataFrame, classes: Classes, path: str) -> dict[str, np.ndarray]:
                 rest, left = lines[at:], real[at:]
             if len(rest):
                 step(rest, left)
-            flat = np.concatenate([descent.w[k].ravel() for k in SHAPES]).astype(np.float64)
+            flat = descent.flat.astype(np.float64)
             rows = np.arange(len(flat)) if seen else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(flat[: len(rows)] * seen), pa.array(np.full(len(rows), seen))], ["i", "x", "n"])
 
@@ -353,10 +429,10 @@ def fit(docs: DataFrame, classes: Classes, path: str) -> dict[str, np.ndarray]:
 
 
 class Scorer:
-    """Scores texts by attention windows and the head of the word counts."""
+    """Scores texts by attention windows and the head of the word counts, which a Lexicon has."""
 
-    def __init__(self, weights: dict[str, np.ndarray], classes: Classes, head: dict[bytes, int], tokens: int, kinds: int, once: int, ends: int, path: str):
-        self.weights, self.classes, self.head, self.path = weights, classes, head, path
+    def __init__(self, weights: dict[str, np.ndarray], classes: Classes, tokens: int, kinds: int, once: int, ends: int, path: str):
+        self.weights, self.classes, self.path = weights, classes, path
         self.all, self.ends = tokens + kinds + 1, ends
         #: Weight of corpus shares: the part of the training words that are not the only ones of their kind.
         self.mix = min(MOST, max(LEAST, 1 - once / (tokens - ends) if tokens > ends else 0))
@@ -385,11 +461,10 @@ class Scorer:
             out[at[:, half:][used[:, half:]]] = found[used[:, half:]]
         return target, out / np.float32(math.log(10)), extra
 
-    def score(self, texts: list[str | None], words: Lexicon) -> tuple[list, ...]:
+    def score(self, texts: pa.Array | list[str | None], words: Lexicon) -> tuple[list, ...]:
         """(tokens, known head tokens, base of head tokens, score without the mixtures of other words, these words as they
         occur, the corpus share that one count is to each, their spelled probabilities) of the texts."""
-        split = [words_of(t) for t in texts]
-        every, counts = list(chain.from_iterable(split)), np.array([len(x) for x in split], np.int64)
+        every, counts = split(texts)
         ids = words.look_up(every)
         flat, begin, texts_begin = words.spelled(ids, counts)
         kind, line, extra = self.unit_scores(flat, texts_begin)
@@ -410,7 +485,7 @@ class Scorer:
         rest = np.flatnonzero(~inside)
         of_text = np.searchsorted(ends, rest)
         cuts = np.cumsum(np.bincount(of_text, minlength=len(counts)))[:-1]
-        lists = [[every[i] for i in part] for part in np.split(rest - of_text, cuts)]
+        lists = [[every[i] for i in part.tolist()] for part in np.split(rest - of_text, cuts)]
         sums = [np.add.reduceat(x, starts).tolist() for x in ((inside & (seen > 0)).astype(np.int64), base, total)]
         return (counts + 1).tolist(), *sums, lists, np.split(per_count[rest], cuts), np.split(spelled[rest], cuts)
 
@@ -430,17 +505,17 @@ def head_of(counts: DataFrame) -> tuple[DataFrame, dict[bytes, int]]:
     return counts.filter(step < least), {bytes(r["word"]): r["c"] for r in counts.filter(step >= least).collect()}
 
 
-def score(docs: DataFrame, path: str, model: Scorer, rest: DataFrame) -> DataFrame:
-    """``docs`` (id columns and text) scored by ``model``; ``rest`` are the (word, c) that its head does not have."""
+def score(docs: DataFrame, path: str, model: Scorer, head: Broadcast, rest: DataFrame) -> DataFrame:
+    """``docs`` (id columns and text) scored by ``model``; ``rest`` are the (word, c) that ``head`` does not have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, words array<binary>, per_count array<double>, spelled array<double>"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value, Lexicon(path, shared.value.head)
+        model, words = shared.value, Lexicon(path, head.value)
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.float64())]
         for batch in batches:
             for part in slices(batch, "text"):
-                arrays = [pa.array(c, k) for c, k in zip(model.score(part.column("text").to_pylist(), words), kinds, strict=True)]
+                arrays = [pa.array(c, k) for c, k in zip(model.score(part.column("text"), words), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *arrays], ["doc_id", "held_out", "n_tokens", "n_head", "base_head", "score_head", "words", "per_count", "spelled"])
 
     main = written(docs.select("doc_id", "held_out", "text").mapInArrow(scored, schema)).withColumn("row", F.monotonically_increasing_id())
@@ -466,5 +541,7 @@ def predict(docs: DataFrame, path: str) -> DataFrame:
     tokens, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     classes = Classes(*unit_counts(counts, path), ends, vocabulary(path))
     rest, head = head_of(counts)
-    model = Scorer(fit(train, classes, path), classes, head, tokens, kinds, sums["once"], ends, path)
-    return score(held, path, model, rest).withColumn("train_tokens", F.lit(tokens).cast("long"))
+    words = sorted(head, key=lambda x: (-head[x], x))  # frequent ones lie side by side in memory
+    shared = docs.sparkSession.sparkContext.broadcast((words, np.array([head[x] for x in words], np.int64), *spellings(words, path)))
+    model = Scorer(fit(train, classes, path, shared), classes, tokens, kinds, sums["once"], ends, path)
+    return score(held, path, model, shared, rest).withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -446,6 +446,56 @@ def test_lm_trains_on_every_unit():
     assert got == want
 
 
+def test_lm_spells_words_in_one_call_and_those_of_the_head_never(monkeypatch):
+    words = [w.encode() for w in ["plain", "it's", "'s", "a\u00a0b", "\u00a0", "\u2003x\u2003", "\x1cy", "12ab", "größe", "漢字", "x" * 3000, "--", "é"]]
+    one_by_one = [lm.encoding(RANKS).encode_ordinary(" " + w.decode()) for w in words]
+    for few in (words, [w for w in words if w.decode().split() == [w.decode()]], words[:1], []):
+        got = [(x // 2).tolist() for x in lm.units_of(few, RANKS)]
+        assert got == [one_by_one[words.index(w)] for w in few]
+        assert all((x % 2).tolist() == [0] * (len(x) - 1) + [1] for x in lm.units_of(few, RANKS))
+    texts = [sentence("en", 300), " \n" + sentence("de", 200) + "\t", None, "", "New words"]
+    of = (np.arange(200_000) % 90).astype(np.int16)
+    want = list(lm.training_windows(iter([texts]), RANKS, of))
+    calls, true = [], lm.encoding(RANKS)
+
+    class Counted:
+        def __getattr__(self, name):
+            if name.startswith("encode"):
+                calls.append(name)
+            return getattr(true, name)
+
+    lm.spellings([b"a"], RANKS)
+    monkeypatch.setattr(lm, "encoding", lambda path: Counted())
+    got = list(lm.training_windows(iter([texts]), RANKS, of))
+    assert len(calls) == 1
+    every = sorted({w for t in texts[:4] for w in lm.words_of(t)})
+    head = (every, np.ones(len(every), np.int64), *lm.spellings(every, RANKS))
+    calls.clear()
+    assert len(list(lm.training_windows(iter([texts[:4]]), RANKS, of, head))) == 1 and not calls
+    monkeypatch.undo()
+    known = list(lm.training_windows(iter([texts]), RANKS, of, head))
+    assert all(np.array_equal(a, b) and np.array_equal(a, c) for x, y, z in zip(want, got, known, strict=True) for a, b, c in zip(x, y, z, strict=True))
+
+
+def test_lm_log_shares_equal_plain_sums():
+    random_ = np.random.default_rng(4)
+    w = {k: v * 20 if k == "out" else v for k, v in lm.start_weights(random_.normal(size=lm.CLASSES)).items()}
+    half = lm.WIDTH // 2
+    for bias in (0, 200):  # beyond what exp takes as it is
+        w["bias"] = w["bias"] + np.float32(bias) * (np.arange(lm.CLASSES) % 2).astype(np.float32)
+        classes, target = random_.integers(0, lm.CLASSES, (70, lm.WIDTH)), random_.integers(0, lm.CLASSES, (70, half))
+        used = np.arange(lm.WIDTH) >= random_.integers(0, half, 70)[:, None]
+        got = lm.log_shares(w, classes, used, target, half)
+        v = {k: x.astype(np.float64) for k, x in w.items()}
+        for b in range(0, 70, 7):
+            x = v["embed"][classes[b]] + v["place"]
+            for t in range(half, lm.WIDTH):
+                near = np.exp([x[t] @ v["query"] @ (x[j] @ v["key"]) / math.sqrt(lm.DEPTH) for j in range(t + 1)]) * used[b, : t + 1]
+                logits = (x[t] + near / near.sum() @ (x[: t + 1] @ v["value"])) @ v["out"] + v["bias"]
+                want = logits[target[b, t - half]] - logits.max() - math.log(np.exp(logits - logits.max()).sum())
+                assert got[b, t - half] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
 def test_lm_slopes_equal_differences():
     random_ = np.random.default_rng(2)
     w = {k: v.astype(np.float64) for k, v in lm.start_weights(np.zeros(lm.CLASSES)).items()}
