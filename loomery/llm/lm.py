@@ -222,10 +222,10 @@ def log_shares(w: dict[str, np.ndarray], classes: np.ndarray, used: np.ndarray,
     ends, out = np.concatenate([w["out"], w["bias"][None]]), np.empty(len(goal), kind)
     for a in range(0, len(goal), UNITS_AT_ONCE):
         logits = seen[a : a + UNITS_AT_ONCE] @ ends
-        part = out[a : a + UNITS_AT_ONCE]
-        part[:] = logits[np.arange(len(logits)), goal[a : a + UNITS_AT_ONCE]]
-        part -= _exponentiate(logits)
-        part -= np.log(logits @ np.ones(CLASSES, kind))
+        line = out[a : a + UNITS_AT_ONCE]
+        line[:] = logits[np.arange(len(logits)), goal[a : a + UNITS_AT_ONCE]]
+        line -= _exponentiate(logits)
+        line -= np.log(logits @ np.ones(CLASSES, kind))
     return out.reshape(target.shape)
 
 
