@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomery.operators.decisions import resampled
+from loomery.operators.decisions import resampled_sums
 
 #: Fixed value: the normal quantile of a two-sided 95 % interval.
 NORMAL = 1.959963984540054
@@ -30,4 +30,5 @@ def interval(pairs: DataFrame) -> DataFrame:
 
 def bootstrap(pairs: DataFrame, key: str, stratum: str, replicates: int = 200) -> DataFrame:
     """(replicate, mean): resampled means within strata, drawn by hashes of (replicate, stratum, slot)."""
-    return resampled(pairs.select(key, stratum, "delta"), stratum, key, replicates).groupBy("replicate").agg(F.avg("delta").alias("mean"))
+    sums = resampled_sums(pairs, stratum, key, replicates, {"sum": F.col("delta"), "known": F.col("delta").isNotNull().cast("int")})
+    return sums.groupBy("replicate").agg((F.sum("sum") / F.sum("known")).alias("mean"))
