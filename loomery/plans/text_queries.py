@@ -80,11 +80,11 @@ QUERIES = {
     "web_quality_accept": lambda s, d: Q.with_web_quality(docs(s, d)).groupBy("lang").agg(F.count("*").alias("n"), F.count_if("accepted").alias("accepted")),
     "longest_char_run": lambda s, d: docs(s, d).select("doc_id", T.longest_run(F.col("text")).alias("run")),
     "reading_ease": lambda s, d: signals(s, d).select("doc_id", "words", "sentences", "syllables", F.round("reading_ease", 6).alias("reading_ease")),
-    "quality_reasons_histogram": lambda s, d: signals(s, d).select(F.explode("quality_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
+    "quality_reasons_histogram": lambda s, d: T.exploded(signals(s, d), [], F.col("quality_reasons"), "reason").groupBy("reason").agg(F.count("*").alias("n")),
     "difficulty_band_counts": lambda s, d: signals(s, d).filter(F.size("quality_reasons") == 0).groupBy("band").agg(F.count("*").alias("n"), F.round(F.avg("difficulty"), 9).alias("mean")),
     "document_signals": lambda s, d: signals(s, d).select("doc_id", "words", "unique_words", "sentences", *(F.round(c, 9).alias(c) for c in ("average_word_characters", "long_word_fraction", "symbol_fraction", "digit_fraction", "difficulty")), "band"),
     "math_signal_classes": lambda s, d: docs(s, d).select("doc_id", Q.classes(F.col("text"), Q.MATH).alias("math"), Q.classes(F.col("text"), Q.EXPLANATION).alias("explanation")),
-    "risk_signal_counts": lambda s, d: risky(s, d).select("lang", F.explode(Q.risk_reasons(F.col("text"))).alias("risk")).groupBy("lang", "risk").agg(F.count("*").alias("n")),
+    "risk_signal_counts": lambda s, d: T.exploded(risky(s, d), ["lang"], Q.risk_reasons(F.col("text")), "risk").groupBy("lang", "risk").agg(F.count("*").alias("n")),
     "safety_scan_counts": lambda s, d: _safety(s, d).select(Q.decision(F.col("reject"), F.col("review")).alias("decision")).groupBy("decision").agg(F.count("*").alias("n")),
     "safety_signals": lambda s, d: _safety(s, d).select("doc_id", "repeated_ppm", "longest_line"),
     "email_candidates": lambda s, d: _safety(s, d).filter("emails > 0").select("doc_id"),
