@@ -87,13 +87,14 @@ def split_texts(s, d):
 
 def progression(s, d):
     """Each phase's documents by band, mean difficulty and digest of the identities in order, and whether the mean rises."""
-    rows = O.settled(Q.with_signals(table(s, d, "documents")).filter(F.size("quality_reasons") == 0).select("doc_id", "band", "difficulty", "text"))
-    placed = O.phases(rows.select("doc_id", "band", "text")).select("doc_id", "phase_index")
-    return rows.join(placed, "doc_id").groupBy("phase_index").agg(F.count("*").alias("documents"), *(F.count_if(F.col("band") == b).alias(b) for b in O.SHARES), F.round(F.avg("difficulty"), 9).alias("mean"), H.ordered_digest(F.col("doc_id"), H.sha(F.col("text"))).alias("digest"))
+    sound = Q.with_signals(table(s, d, "documents")).filter(F.size("quality_reasons") == 0)
+    rows = O.settled(sound.select("doc_id", "band", "difficulty", H.sha(F.col("text")).alias("sha"), O.bucket(F.col("text")).alias("bucket")))
+    placed = O.phases(rows.select("doc_id", "band", "bucket")).select("doc_id", "phase_index")
+    return rows.join(placed, "doc_id").groupBy("phase_index").agg(F.count("*").alias("documents"), *(F.count_if(F.col("band") == b).alias(b) for b in O.SHARES), F.round(F.avg("difficulty"), 9).alias("mean"), H.ordered_digest(F.col("doc_id"), F.col("sha")).alias("digest"))
 
 
 QUERIES = {
-    "math_filter_reasons": lambda s, d: math_rows(s, d).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
+    "math_filter_reasons": lambda s, d: T.exploded(math_rows(s, d), [], F.col("reasons"), "reason").groupBy("reason").agg(F.count("*").alias("n")),
     "math_filter_decisions": lambda s, d: math_rows(s, d).select("doc_id", F.array_join("reasons", ",").alias("reasons"), L.ppm(F.col("language_score")).alias("language_ppm")),
     "math_ladder_strata": lambda s, d: climbed(s, d).groupBy("stratum").agg(F.count("*").alias("n"), F.count_if(F.size("reasons") == 0).alias("candidates"), F.count_if(F.array_contains("reasons", "exact_duplicate_text")).alias("duplicates")),
     "math_ladder_sample": lambda s, d: V.sampled(candidates(s, d), ["stratum"], "ladder:", "doc_id", 8).select("doc_id", "stratum", "enough"),

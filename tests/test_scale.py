@@ -1,10 +1,15 @@
 """Steps that must stay bounded: in pieces they give what they give at once."""
 
 import hashlib
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from loomery.functions import text as T
 from loomery.operators import decisions as X
+from loomery.operators import near as N
+from loomery.operators import ordering as O
+from loomery.operators import quality as Q
 from loomery.plans import decision_queries as D
 
 
@@ -25,3 +30,41 @@ def test_resampled_sums_over_pieces(spark, monkeypatch):
         monkeypatch.setattr(X, "SLOTS_AT_ONCE", 9)
         got = X.resampled_sums(rows, "s", "i", 90, {"v": F.col("v"), "n": F.col("v").isNotNull().cast("int")})
         assert {(r["replicate"], r["s"]): (r["v"] or 0, r["n"]) for r in got.collect()} == wanted
+
+
+def test_normal_form_stays_in_the_jvm_and_equals_pythons(spark):
+    fold = lambda t: " ".join(unicodedata.normalize("NFKC", t).casefold().split())
+    known = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs")]
+    texts = ["".join(f"a{c} {c}b\u0301" for c in known[i : i + 500]) for i in range(0, len(known), 500)] + ["", "  Straße\u3000ﬁ \n\x1cⅣ ", "e\u0301\u0323 \uac00\u11a8 İ"]
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", T.nfkc_casefold(F.col("t")).alias("n"))
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+    wrong = [r["t"][:20] for r in frame.collect() if r["n"] != (None if r["t"] is None else fold(r["t"]))]
+    assert not wrong
+
+
+def written(df, what):
+    """How often the optimized plan has ``what``."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_digests_of_a_sketch_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    assert written(N.with_sketch(docs, "doc_id"), "sha2(") == 1
+
+
+def test_what_is_exploded_is_made_once(spark):
+    docs = spark.createDataFrame([(1, "poker"), (2, "none"), (3, None)], "doc_id long, text string").repartition(2)
+    out = T.exploded(docs, ["doc_id"], Q.risk_reasons(F.col("text")), "risk")
+    assert [tuple(r) for r in out.collect()] == [(1, "casino_or_betting")] and written(out, "sportsbook") == 1
+
+
+def test_signals_behind_a_filter_are_found_once(spark):
+    docs = spark.createDataFrame([(1, "Because a proof. " * 40), (2, None)], "doc_id long, text string").repartition(2)
+    out = Q.with_signals(docs).filter(F.size("quality_reasons") == 0).select("doc_id", "band", "difficulty", "longest_run", "url_density")
+    assert written(out, "(.)") == 1 and written(out, "https?") == 1 and written(out, "NORMALIZE") + written(out, "foldCase") == 1
+
+
+def test_a_curriculum_takes_its_order_from_buckets_or_texts(spark):
+    rows = spark.createDataFrame([(i, f"text {i}", "reasoning") for i in range(60)], "doc_id long, text string, band string")
+    whole = sorted(map(tuple, O.curriculum(rows).collect()))
+    assert sorted(map(tuple, O.curriculum(rows.select("doc_id", "band", O.bucket(F.col("text")).alias("bucket"))).collect())) == whole
