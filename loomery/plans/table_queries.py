@@ -92,7 +92,7 @@ def zipped(s, d):
 
 
 def running_stream(s, d):
-    counts = S.finished(S.running_counts(S.stream(s, f"{d}/events.parquet")), "append")
+    counts = S.running_counts(S.stream(s, f"{d}/events.parquet"))
     return counts.groupBy("event_type").agg(F.sum("prior").alias("prior"), F.max("prior").alias("most"))
 
 

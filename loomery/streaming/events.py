@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,23 +42,30 @@ def finished(out: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def running_counts(events: DataFrame, key: str = "user_id", order: str = "event_id") -> DataFrame:
-    """(key, order, event_type, prior): how many events of its key came before each. The state is one number a key; what
-    is handed to Python at once is one key's part of a micro-batch."""
-    import pandas as pd
-
-    schema = events.select(key, order, "event_type").schema
-
-    def counted(keys, parts, state):
-        before = state.get[0] if state.exists else 0
-        for rows in parts:
-            rows = rows[[key, order, "event_type"]].sort_values(order).reset_index(drop=True)
-            rows["prior"] = before + pd.RangeIndex(len(rows)).to_numpy()
-            before += len(rows)
-            yield rows
-        state.update((before,))
-
-    whole = f"{schema.simpleString()[7:-1]},prior:bigint".replace(":", " ")
-    return events.select(key, order, "event_type").groupBy(key).applyInPandasWithState(counted, whole, "n long", "append", "NoTimeout")
+    """(key, order, event_type, prior): how many events of its key came before each, of a bounded stream run to its end.
+
+    Events of a micro-batch count by ``order`` and after those of earlier ones. What goes from batch to batch is one number
+    a key, in a folder; a batch that is done again reads the counts before it and replaces what it had written.
+    """
+    spark, folder, seen = events.sparkSession, folder_of(events.sparkSession), []
+    rows = events.select(key, order, "event_type")
+    whole = rows.withColumn("prior", F.lit(0).cast("long")).schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        inside = batch.withColumn("prior", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("long"))
+        counts = batch.groupBy(key).agg(F.count("*").alias("__n"))
+        earlier = [n for n in seen if n < number]
+        if earlier:
+            before = batch.sparkSession.read.parquet(f"{folder}/counts/{max(earlier)}")
+            known = before.select(F.col(key).alias("__key"), F.col("__n").alias("__before"))
+            inside = inside.join(known, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("prior", F.col("prior") + F.coalesce("__before", F.lit(0)))
+            counts = before.unionByName(counts).groupBy(key).agg(F.sum("__n").alias("__n"))
+        inside.select(key, order, "event_type", "prior").write.mode("overwrite").parquet(f"{folder}/batches/{number}")
+        counts.write.mode("overwrite").parquet(f"{folder}/counts/{number}")
+        seen.append(number)
+
+    rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(whole).parquet(*(f"{folder}/batches/{n}" for n in sorted(set(seen)))) if seen else spark.createDataFrame([], whole)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
