@@ -1,6 +1,7 @@
 """Steps that must stay bounded: in pieces they give what they give at once."""
 
 import hashlib
+import os
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from loomery.operators import near as N
 from loomery.operators import ordering as O
 from loomery.operators import quality as Q
 from loomery.plans import decision_queries as D
+from loomery.sources import files as B
+from loomery.streaming import events as S
 
 
 def test_oracle_bootstrap_draws_as_often_as_the_reference():
@@ -68,3 +71,30 @@ def test_a_curriculum_takes_its_order_from_buckets_or_texts(spark):
     rows = spark.createDataFrame([(i, f"text {i}", "reasoning") for i in range(60)], "doc_id long, text string, band string")
     whole = sorted(map(tuple, O.curriculum(rows).collect()))
     assert sorted(map(tuple, O.curriculum(rows.select("doc_id", "band", O.bucket(F.col("text")).alias("bucket"))).collect())) == whole
+
+
+def test_running_counts_of_a_hot_key_over_batches(spark, tmp_path):
+    for part in range(2):
+        rows = spark.range(part * 15_000, (part + 1) * 15_000).select(F.floor(F.col("id") % 3 / 2).alias("user_id"), F.col("id").alias("event_id"), F.lit("x").alias("event_type"))
+        rows.repartition(1).orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(str(tmp_path / f"in{part}"))
+        (made,) = (tmp_path / f"in{part}").glob("*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        made.rename(tmp_path / "in" / f"{part}.parquet")
+        os.utime(tmp_path / "in" / f"{part}.parquet", (1_700_000_000 + 100 * part,) * 2)
+    for files in ("1", "9"):
+        stream = spark.readStream.schema("user_id long, event_id long, event_type string").option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
+        got = sorted((r["user_id"], r["event_id"], r["prior"]) for r in S.running_counts(stream).collect())
+        keys = [[e for e in range(30_000) if e % 3 // 2 == u] for u in (0, 1)]
+        assert got == [(u, e, i) for u, events in enumerate(keys) for i, e in enumerate(events)]
+
+
+def test_bundles_are_cut_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(B, "PIECE", 8)
+    content, cuts = bytes(range(60)), [0, 3, 3, 20, 24, 60]
+    index = [("a", lo, hi - lo, hashlib.sha256(content[lo:hi]).hexdigest() if lo != 24 else "x") for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    frame = spark.createDataFrame(index, "bundle string, offset long, length int, sha256 string")
+    for size, sound in ((60, True), (61, False)):
+        bundles = spark.createDataFrame([("a", bytearray(content[:60] + b"+" * (size - 60))), ("b", bytearray(b"unused"))], "bundle string, content binary")
+        rows = sorted((r["offset"], r["length"], bytes(r["blob"]), r["sound"]) for r in B.bundle_blobs(bundles, frame).collect())
+        assert rows == [(lo, n, content[lo : lo + n], sound and lo != 24) for _, lo, n, _ in index]
+    assert all("content" not in f.name for f in B.bundle_blobs(bundles, frame).schema)
