@@ -12,6 +12,7 @@ from loomery.operators import near as N
 from loomery.operators import ordering as O
 from loomery.operators import quality as Q
 from loomery.plans import decision_queries as D
+from loomery.plans import stream_queries as R
 from loomery.sources import files as B
 from loomery.streaming import events as S
 
@@ -98,3 +99,10 @@ def test_bundles_are_cut_in_pieces(spark, monkeypatch):
         rows = sorted((r["offset"], r["length"], bytes(r["blob"]), r["sound"]) for r in B.bundle_blobs(bundles, frame).collect())
         assert rows == [(lo, n, content[lo : lo + n], sound and lo != 24) for _, lo, n, _ in index]
     assert all("content" not in f.name for f in B.bundle_blobs(bundles, frame).schema)
+
+
+def test_packed_documents_need_no_token_ids(spark, tmp_path):
+    docs = [(0, "a b c", "en"), (1, "a b c", "en"), (2, "", "de"), (3, " d  e ", "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = R.packed(spark, str(tmp_path))
+    assert "tokens" not in plan.columns and sorted((r["doc_id"], r["n_tokens"], r["kept"]) for r in plan.collect()) == [(0, 3, 4), (2, 0, 1), (3, 2, 3)]
